@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lorestack.llm import mixture, tokenizer
+from lorestack.llm import mixture, split, tokenizer
 
-MODULES = (tokenizer, mixture)
+MODULES = (split, tokenizer, mixture)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
