@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lorestack.llm import mixture, names, split, tokenizer
+from lorestack.llm import mixture, names, near_duplicates, split, tokenizer
 
-MODULES = (split, names, tokenizer, mixture)
+MODULES = (near_duplicates, split, names, tokenizer, mixture)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
