@@ -117,8 +117,8 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def packed_bits(signature: np.ndarray) -> np.ndarray:
-    """The lowest bit of each min-hash, 64 to a number."""
-    bits = np.packbits((signature & 1).astype(np.uint8), axis=1, bitorder="little")
+    """The lowest bits of the min-hashes, 64 to a number; hashes beyond a full number are left out."""
+    bits = np.packbits((signature[:, : signature.shape[1] // 64 * 64] & 1).astype(np.uint8), axis=1, bitorder="little")
     return bits.view(np.int64)
 
 
