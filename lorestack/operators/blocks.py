@@ -21,6 +21,7 @@ def block_pairs(members: DataFrame, block: Sequence[str], member: str, carry: Se
     """
     rows = members.select(*block, F.col(member).alias("_m"), *carry)
     rows = rows.filter(" and ".join(f"`{c}` is not null" for c in [*block, "_m"]))
+    rows = rows.repartition(*block).dropDuplicates([*block, "_m"])
     counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*block))).filter("_n > 1")
     parts = F.ceil(F.col("_n") / cell).cast("int")
     laid = counted.withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("_m"), F.col("_parts")).cast("int"))
