@@ -6,15 +6,16 @@ posterior of the similarity given the bits that agree is known, and the pair is
 the threshold is under `miss`. What survives all batches is verified exactly on the sets of word runs.
 
 Scale: equal texts are one class first, so a page copied a million times is one row. Signatures are made in one pass
-with numpy; only (band key, class) pairs of 16 bytes are shuffled, then 32 bytes of signature per candidate, and
-sets of hashes for the survivors alone. Hot bands are split into cells. Nothing is collected or broadcast.
+with numpy; only (band key, class) pairs of 14 bytes are shuffled, then 32 bytes of signature per candidate, and
+the texts of survivors alone. Hot bands are split into cells. Nothing is collected; the keys of survivors are broadcast
+only below a checked size.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from lorestack.operators.blocks import block_pairs
 from lorestack.operators.components import connected_components
-from lorestack.session import cut
-from lorestack.sources.tables import current_wide, kind_key, table
+from lorestack.session import cut, lookup_join
+from lorestack.sources.tables import current_rows, kind_key, table
 
 #: Words are lower-cased runs of letters and digits.
 WORD = re.compile(r"[^\W_]+")
@@ -107,13 +108,13 @@ def signatures(sets: list[np.ndarray], count: int, seed: int = 7) -> np.ndarray:
 
 
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A 64-bit key of each band of each signature."""
+    """A 32-bit key of each band of each signature; bands that agree by chance are told apart by the bits."""
     parts = signature[:, : bands * rows].reshape(len(signature), bands, rows).astype(np.uint64)
-    keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), parts.shape[:2]).copy()
+    keys = np.zeros(parts.shape[:2], np.uint64)
     for k in range(rows):
         keys = (keys ^ parts[:, :, k]) * np.uint64(0xD6E8FEB86659FD93)
         keys ^= keys >> np.uint64(31)
-    return keys.view(np.int64)
+    return (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def packed_bits(signature: np.ndarray) -> np.ndarray:
@@ -132,24 +133,41 @@ def _sets(texts: list[str | None], run: int) -> Iterator[tuple[int, list[np.ndar
             start, size = i + 1, 0
 
 
-def text_classes(docs: DataFrame, key: str, text: str, run: int) -> DataFrame:
-    """(key, class): the class of a text is a 64-bit hash of its set of word runs; texts without runs have none."""
+def signed_texts(docs: DataFrame, key: str, text: str, run: int, bands: int, rows: int) -> DataFrame:
+    """(key, class, bands, bits) of each text with at least `run` words, in one pass without a shuffle.
+
+    The class of a text is a 64-bit hash of its set of word runs. bands and bits are given where a task sees a class for
+    the first time and null where it sees it again, so copies are combined before any shuffle.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
-    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, out = [], []
+    def sign(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in stream:
             for start, sets in _sets(batch.column(1).to_pylist(), run):
-                for i, s in enumerate(sets, start):
-                    if len(s):
-                        keep.append(i)
-                        out.append(xxhash.xxh64_intdigest(s.tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), pa.array(np.array(out, np.uint64).view(np.int64))], ["key", "class"])
-
-    return docs.select(F.col(key).alias("key"), text).mapInArrow(classify, f"key {kind}, class long")
-
-
-def similar_classes(docs: DataFrame, key: str, text: str, threshold: float = 0.8, run: int = 5, band_miss: float = 0.02, miss: float = 0.002) -> tuple[DataFrame, DataFrame]:
+                keep = [i for i, s in enumerate(sets) if len(s)]
+                classes = [xxhash.xxh64_intdigest(sets[i].tobytes()) for i in keep]
+                new: dict[int, int] = {}
+                for c, i in zip(classes, keep):
+                    if c not in seen and c not in new:
+                        new[c] = i
+                seen.update(new)
+                signed = signatures([sets[i] for i in new.values()], bands * rows)
+                place = {i: n for n, i in enumerate(new.values())}
+                take = pa.array([place.get(i) for i in keep], pa.int32())
+                lists = [
+                    pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1), kind), max(1, x.shape[1])).cast(pa.list_(kind)).take(take)
+                    for x, kind in ((band_keys(signed, bands, rows), pa.int32()), (packed_bits(signed), pa.int64()))
+                ]
+                ids = batch.column(0).take(pa.array([start + i for i in keep], pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(classes, np.uint64).view(np.int64), pa.int64()), *lists], ["key", "class", "bands", "bits"])
+
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(sign, f"key {kind}, class long, bands array<int>, bits array<long>")
+
+
+def similar_classes(
+    docs: DataFrame, key: str, text: str, threshold: float = 0.8, run: int = 5, band_miss: float = 0.02, miss: float = 0.002, keep: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of texts that are alike to at least `threshold`, by the Jaccard similarity of their sets of runs of
     `run` words.
 
@@ -157,42 +175,43 @@ def similar_classes(docs: DataFrame, key: str, text: str, threshold: float = 0.8
     similarity), a < b, of different classes. Similarities are exact. A pair right at the threshold shares no band with
     a chance under `band_miss`, which falls fast above it (at 0.5: 1.6 %, at 0.56: 0.13 %, at 0.6: 0.01 %), and is dropped by
     the comparison of signatures with a chance of about `miss`. Null, empty and shorter texts have no class. Repeated keys
-    give repeated members. Only key and text are read.
+    give repeated members. Only key and text are read. `keep` may select members and rename their key; classes without a
+    member left have no pairs.
     """
     bands, rows = band_plan(threshold, band_miss)
-    batches = bands * rows // 64
-    members = cut(text_classes(docs, key, text, run))
-    first = members.groupBy("class").agg(F.min("key").alias("key"))
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-
-    def sign(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            for start, sets in _sets(batch.column(1).to_pylist(), run):
-                if sets:
-                    signed = signatures(sets, bands * rows)
-                    lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (band_keys(signed, bands, rows), packed_bits(signed))]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(sets)), *lists], ["class", "keys", "bits"])
-
-    chosen = texts.join(first, "key").dropDuplicates(["class"]).select("class", "text")
-    signed = cut(chosen.mapInArrow(sign, "class long, keys array<long>, bits array<long>"))
-    candidates = block_pairs(signed.select("class", F.explode("keys").alias("band")), ["band"], "class")
-    bits = signed.select("class", "bits")
+    signed = cut(signed_texts(docs, key, text, run, bands, rows))
+    every = signed.select("key", "class")
+    members = keep(every) if keep else every
+    fresh = signed.filter("bits is not null")
+    banded = fresh.select("class", F.posexplode("bands").alias("no", "band")).withColumn("no", F.col("no").cast("short"))
+    candidates = block_pairs(banded, ["no", "band"], "class")
+    if keep:
+        there = members.select("class").distinct()
+        candidates = candidates.join(there.withColumnRenamed("class", "a"), "a", "left_semi").join(there.withColumnRenamed("class", "b"), "b", "left_semi")
+    bits = fresh.select("class", "bits").dropDuplicates(["class"])
     pairs = candidates.join(bits.select(F.col("class").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("class").alias("b"), F.col("bits").alias("y")), "b")
-    survivors = cut(pairs.filter(_agrees(least_agreement(threshold, miss, 64, batches))).select("a", "b"))
+    survivors = cut(pairs.filter(_agrees(least_agreement(threshold, miss, 64, bands * rows // 64))).select("a", "b"))
+    # the texts of the survivors, and of these one for each class
     needed = survivors.select(F.col("a").alias("class")).union(survivors.select(F.col("b").alias("class"))).distinct()
+    first = cut(every.join(needed, "class", "left_semi").groupBy("class").agg(F.min("key").alias("key")))
+    texts = lookup_join(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), first, ["key"]).select("class", "text").dropDuplicates(["class"])
+    both = survivors.join(texts.select(F.col("class").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("y")), "b")
 
-    def spell(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            for start, sets in _sets(batch.column(1).to_pylist(), run):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(sets)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["class", "runs"])
+            a, b = (batch.column(k).to_pylist() for k in (0, 1))
+            known: dict[int, set] = {}
+            found = []
+            for m, n, x, y in zip(a, b, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                for c, t in ((m, x), (n, y)):
+                    if c not in known:
+                        words = WORD.findall(t.lower())
+                        known[c] = set(zip(*(words[k:] for k in range(run))))
+                shared = len(known[m] & known[n])
+                found.append(shared / (len(known[m]) + len(known[n]) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
-    keys = first.join(needed, "class", "left_semi")
-    spelled = texts.join(keys, "key").dropDuplicates(["class"]).select("class", "text").mapInArrow(spell, "class long, runs array<long>")
-    spelled = cut(spelled)
-    both = survivors.join(spelled.select(F.col("class").alias("a"), F.col("runs").alias("x")), "a").join(spelled.select(F.col("class").alias("b"), F.col("runs").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    exact = both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).filter(F.col("similarity") >= threshold)
-    return members, exact
+    return members, both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, similarity double").filter(F.col("similarity") >= threshold)
 
 
 def _agrees(least: list[int]) -> Column:
@@ -211,7 +230,11 @@ def duplicate_groups(docs: DataFrame, key: str, text: str, threshold: float = 0.
     group is the lowest class of the connected component, links the number of other classes that the class is alike to.
     A text alone is its own group. Pairs of classes are in similar_classes.
     """
-    members, pairs = similar_classes(docs, key, text, threshold, run, band_miss, miss)
+    return group_members(*similar_classes(docs, key, text, threshold, run, band_miss, miss))
+
+
+def group_members(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Members with the group of their class and its number of links."""
     pairs = cut(pairs.select("a", "b"))
     links = pairs.select("a").union(pairs.select("b")).groupBy(F.col("a").alias("class")).agg(F.count("*").alias("links"))
     groups = connected_components(pairs, "a", "b").select(F.col("node").alias("class"), "component")
@@ -231,22 +254,31 @@ def key_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
 P2_RUN, P2_THRESHOLD, P2_WORDS = 3, 0.5, 20
 
 
-def store_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, text) of current non-entity objects with enough words in the body."""
+def _store_pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Members and pairs of current non-entity objects with enough words in the body.
+
+    All deliveries are signed as they are read; which of them are current is decided on keys alone, so that no text is
+    shuffled for it.
+    """
+    objects = table(spark, folder, "knowledge_object").filter("id is not null")
     enough = F.expr(rf"size(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+', 0)) >= {P2_WORDS}")
-    rows = current_wide(table(spark, folder, "knowledge_object"), "title", "body", where=(kind_key() != "entity") & enough)
-    return rows.select("id", F.concat_ws("\n", "title", "body").alias("text"))
+    row = F.struct("id", "head_version", "ingested_at")
+    texts = objects.filter((kind_key() != "entity") & enough).select(row.alias("key"), F.concat_ws("\n", "title", "body").alias("text"))
+    heads = current_rows(objects, "head_version", "ingested_at").select(F.struct("id", "head_version", "ingested_at").alias("key"))
+
+    def current(members: DataFrame) -> DataFrame:
+        return members.join(heads, "key", "left_semi").select(F.col("key.id").alias("key"), "class").distinct()
+
+    return similar_classes(texts, "key", "text", P2_THRESHOLD, P2_RUN, keep=current)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    texts = cut(store_texts(spark, folder))
-    pairs = key_pairs(*similar_classes(texts, "id", "text", P2_THRESHOLD, P2_RUN))
+    pairs = key_pairs(*_store_pairs(spark, folder))
     return pairs.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
 
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
-    groups = duplicate_groups(cut(store_texts(spark, folder)), "id", "text", P2_THRESHOLD, P2_RUN)
-    return groups.select(F.col("key").alias("id"), "class", "group", "links")
+    return group_members(*_store_pairs(spark, folder)).select(F.col("key").alias("id"), "class", "group", "links")
 
 
 SQL = {
