@@ -39,6 +39,7 @@ OFFER = set(
 )
 LINK = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]]*\]\([^)]*\)|(?:https?://|www\.)\S+", re.S | re.I)
 WORD = re.compile(r"[^\W_]+")
+UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 HASHTAG = re.compile(r"(?<!\w)#\w+[,;]?")
 PRICE = re.compile(r"\b\d+[.,]\d\d\b")
 GOODS = re.compile(r"\btags?:|\b(?:sku|item|art\.?)\s*#?\d+|add to cart|in stock|\bsale\b|-\d+ ?%", re.I)
@@ -55,15 +56,21 @@ FEATURES = (
 
 def page_features(text: str) -> list[float]:
     """Numbers of a text; shares are of its characters that are no white space, or of its words."""
-    words = WORD.findall(LINK.sub(" ", text).lower())
+    linked_text = "http" in text or "www." in text.lower() or "<a" in text.lower() or "](" in text
+    words = WORD.findall((LINK.sub(" ", text) if linked_text else text).lower())
     n = max(1, len(words))
     counts = Counter(words)
     pairs = Counter(zip(words, words[1:]))
     floor = max(4, 0.04 * n)
     hot = {w for w, c in counts.items() if c >= floor and len(w) > 1 and w not in COMMON and not w.isdigit()}
-    for (a, b), c in pairs.items():
-        if c >= floor and (a in hot or b in hot):
-            hot.update(w for w in (a, b) if w not in COMMON)
+    if hot:
+        for (a, b), c in pairs.items():
+            if c >= floor and (a in hot or b in hot):
+                hot.update(w for w in (a, b) if w not in COMMON)
+    offers = sum(counts[w] for w in OFFER if w in counts)
+    # what the text as a whole has none of needn't be looked for in its parts
+    sold_text, tagged_text = offers >= 2 or bool(hot), "#" in text
+    goods_text = bool(GOODS.search(text))
     total = links = goods = hashtags = keywords = record = sentences = short = 0
     starts: Counter = Counter()
     lines = [x for x in (line.strip() for line in text.splitlines()) if x]
@@ -75,36 +82,45 @@ def page_features(text: str) -> list[float]:
             if not size:
                 continue
             total += size
-            inside = WORD.findall(LINK.sub(" ", part).lower())
-            linked = sum(len(m.group()) - m.group().count(" ") for m in LINK.finditer(part))
-            known = sum(w in hot or w in OFFER for w in inside)
-            sold = sum(w in OFFER for w in inside)
-            ended = part[-1] in ".!?。！？।" and len(inside) >= 4
-            # a sentence counts as stuffed only if it says its keywords again and again, or offers something
-            again = sum(c - 1 for w, c in Counter(inside).items() if w in hot)
-            stuffed = not ended or sold > 0 or again >= 0.2 * len(inside)
-            if linked >= 0.5 * size and (START_LINK.match(part) or not RECORD.match(part)):
+            linked = sum(len(m.group()) - m.group().count(" ") for m in LINK.finditer(part)) if linked_text else 0
+            if linked >= 0.5 * size and linked and (START_LINK.match(part) or not RECORD.match(part)):
                 links += size
-            elif PRICE.search(part) and GOODS.search(part) or len(GOODS.findall(part)) >= 2:
+                continue
+            if goods_text and (PRICE.search(part) and GOODS.search(part) or len(GOODS.findall(part)) >= 2):
                 goods += size
-            elif sum(len(m.group()) for m in HASHTAG.finditer(part)) >= 0.5 * size:
+                continue
+            if tagged_text and sum(len(m.group()) for m in HASHTAG.finditer(part)) >= 0.5 * size:
                 hashtags += size
-            elif sold >= 2 and known >= 0.5 * len(inside):
+                continue
+            known = sold = again = 0
+            inside: list[str] = []
+            if sold_text:
+                inside = WORD.findall((LINK.sub(" ", part) if linked else part).lower())
+                sold = sum(w in OFFER for w in inside)
+                known = sum(w in hot or w in OFFER for w in inside)
+            if sold >= 2 and known >= 0.5 * len(inside):
                 keywords += size
-            elif RECORD.match(part):
+                continue
+            if RECORD.match(part):
                 record += size
-            elif inside and known >= 0.3 * len(inside) and stuffed and any(w in hot for w in inside):
-                keywords += size
-            elif ended or part[-1] in "。！？।":
+                continue
+            ended = part[-1] in ".!?。！？।" and part.count(" ") >= 3
+            if inside and known >= 0.3 * len(inside) and any(w in hot for w in inside):
+                # a sentence counts as stuffed only if it says its keywords again and again, or offers something
+                again = sum(c - 1 for w, c in Counter(inside).items() if w in hot)
+                if not ended or sold > 0 or again >= 0.2 * len(inside):
+                    keywords += size
+                    continue
+            if ended or part[-1] in "。！？।":
                 sentences += size
     total = max(1, total)
     letters = max(1, len(text))
     top = max((c for w, c in counts.items() if w not in COMMON and len(w) > 2), default=0)
     return [
         links / total, goods / total, hashtags / total, keywords / total, (links + goods + hashtags + keywords) / total, record / total, sentences / total,
-        top / n, max(pairs.values(), default=0) / n, sum(counts[w] for w in OFFER if w in counts) / n, len(counts) / n,
-        len(LINK.findall(text)) / n, float(n), float(len(lines)), short / max(1, len(lines)), max(starts.values(), default=0) / max(1, len(lines)),
-        sum(map(str.isdigit, words)) / n, sum(c.isupper() for c in text[:4096]) / min(letters, 4096), text.count(",") / n, 1 - len(set(lines)) / max(1, len(lines)),
+        top / n, max(pairs.values(), default=0) / n, offers / n, len(counts) / n,
+        (len(LINK.findall(text)) if linked_text else 0) / n, float(n), float(len(lines)), short / max(1, len(lines)), max(starts.values(), default=0) / max(1, len(lines)),
+        sum(map(str.isdigit, words)) / n, len(UPPER.findall(text)) / letters, text.count(",") / n, 1 - len(set(lines)) / max(1, len(lines)),
     ]
 
 
