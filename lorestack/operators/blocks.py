@@ -12,17 +12,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorestack.session import cut
+
 
 def block_pairs(members: DataFrame, block: Sequence[str], member: str, carry: Sequence[str] = (), cell: int = 512) -> DataFrame:
     """(a, b, then carry columns as <name>_a and <name>_b): pairs a < b of different members of any common block.
 
     Each pair comes once, however many blocks it shares. Rows with a null block column or member give no pairs; a member
-    repeated in a block counts once in the result. Singletons are dropped right after the one shuffle by block.
+    repeated in a block counts once in the result. Singletons are dropped right after the one shuffle by block, and
+    what is left is written once and read by both sides.
     """
     rows = members.select(*block, F.col(member).alias("_m"), *carry)
     rows = rows.filter(" and ".join(f"`{c}` is not null" for c in [*block, "_m"]))
-    rows = rows.repartition(*block).dropDuplicates([*block, "_m"])
-    counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*block))).filter("_n > 1")
+    # repeats are dropped once the singletons are gone; they can only make _n too large, which means more cells
+    counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*block))).filter("_n > 1").dropDuplicates([*block, "_m"])
+    counted = cut(counted)
     parts = F.ceil(F.col("_n") / cell).cast("int")
     laid = counted.withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("_m"), F.col("_parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
