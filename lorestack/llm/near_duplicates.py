@@ -166,7 +166,9 @@ def signed_texts(docs: DataFrame, key: str, text: str, run: int, bands: int, row
 
 
 def similar_classes(
-    docs: DataFrame, key: str, text: str, threshold: float = 0.8, run: int = 5, band_miss: float = 0.02, miss: float = 0.002, keep: Callable[[DataFrame], DataFrame] | None = None
+    docs: DataFrame, key: str, text: str, threshold: float = 0.8, run: int = 5, band_miss: float = 0.02, miss: float = 0.002,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+    source: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of texts that are alike to at least `threshold`, by the Jaccard similarity of their sets of runs of
     `run` words.
@@ -176,7 +178,7 @@ def similar_classes(
     a chance under `band_miss`, which falls fast above it (at 0.5: 1.6 %, at 0.56: 0.13 %, at 0.6: 0.01 %), and is dropped by
     the comparison of signatures with a chance of about `miss`. Null, empty and shorter texts have no class. Repeated keys
     give repeated members. Only key and text are read. `keep` may select members and rename their key; classes without a
-    member left have no pairs.
+    member left have no pairs. `source` has the texts by key as docs has, where reading docs again would cost more.
     """
     bands, rows = band_plan(threshold, band_miss)
     signed = cut(signed_texts(docs, key, text, run, bands, rows))
@@ -194,7 +196,7 @@ def similar_classes(
     # the texts of the survivors, and of these one for each class
     needed = survivors.select(F.col("a").alias("class")).union(survivors.select(F.col("b").alias("class"))).distinct()
     first = cut(every.join(needed, "class", "left_semi").groupBy("class").agg(F.min("key").alias("key")))
-    texts = lookup_join(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), first, ["key"]).select("class", "text").dropDuplicates(["class"])
+    texts = lookup_join((source or docs).select(F.col(key).alias("key"), F.col(text).alias("text")), first, ["key"]).select("class", "text").dropDuplicates(["class"])
     both = survivors.join(texts.select(F.col("class").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("y")), "b")
 
     def verify(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,13 +265,14 @@ def _store_pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     objects = table(spark, folder, "knowledge_object").filter("id is not null")
     enough = F.expr(rf"size(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+', 0)) >= {P2_WORDS}")
     row = F.struct("id", "head_version", "ingested_at")
+    every = objects.select(row.alias("key"), F.concat_ws("\n", "title", "body").alias("text"))
     texts = objects.filter((kind_key() != "entity") & enough).select(row.alias("key"), F.concat_ws("\n", "title", "body").alias("text"))
     heads = current_rows(objects, "head_version", "ingested_at").select(F.struct("id", "head_version", "ingested_at").alias("key"))
 
     def current(members: DataFrame) -> DataFrame:
         return members.join(heads, "key", "left_semi").select(F.col("key.id").alias("key"), "class").distinct()
 
-    return similar_classes(texts, "key", "text", P2_THRESHOLD, P2_RUN, keep=current)
+    return similar_classes(texts, "key", "text", P2_THRESHOLD, P2_RUN, keep=current, source=every)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
