@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorestack.operators import incremental, orphans
+from lorestack.plans import text
 
-MODULES = (orphans, incremental)
+MODULES = (orphans, incremental, text)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
