@@ -7,21 +7,11 @@ from pyspark.sql import functions as F
 
 from lorestack.functions import text as T
 from lorestack.plans import duck
+from lorestack.plans.base import Registry
 from lorestack.sources.tables import current_rows, current_wide, kind_key, table
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
+query = Registry()
+QUERIES, SQL = query.QUERIES, query.SQL
 
 
 def docs(spark: SparkSession, folder: str) -> DataFrame:
