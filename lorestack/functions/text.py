@@ -171,3 +171,8 @@ def duration_ms(text: Column) -> Column:
     unit = F.regexp_extract(text, r"^(\d+)([smh]?)$", 2)
     factor = F.when(unit == "s", 1000).when(unit == "h", 3600000).otherwise(60000)
     return F.when(n != "", n.cast("long") * factor)
+
+
+def round_half(value: Column, digits: int = 6) -> Column:
+    """Rounds half up in double arithmetic, the same in every engine."""
+    return F.floor(value * F.lit(float(10**digits)) + F.lit(0.5)) / F.lit(float(10**digits))

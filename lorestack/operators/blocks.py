@@ -22,7 +22,9 @@ def block_pairs(members: DataFrame, block: Sequence[str], member: str, carry: Se
     repeated in a block counts once in the result. Singletons are dropped right after the one shuffle by block, and
     what is left is written once and read by both sides.
     """
-    rows = members.select(*block, F.col(member).alias("_m"), *carry)
+    names = [f"_b{i}" for i in range(len(block))]  # block columns may have any name
+    rows = members.select(*[F.col(c).alias(n) for c, n in zip(block, names)], F.col(member).alias("_m"), *carry)
+    block = names
     rows = rows.filter(" and ".join(f"`{c}` is not null" for c in [*block, "_m"]))
     # repeats are dropped once the singletons are gone; they can only make _n too large, which means more cells
     counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*block))).filter("_n > 1").dropDuplicates([*block, "_m"])

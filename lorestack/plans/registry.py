@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorestack.operators import incremental, orphans
-from lorestack.plans import graph, store, text
+from lorestack.plans import extract, graph, retrieval, store, text
 
-MODULES = (orphans, incremental, text, store, graph)
+MODULES = (orphans, incremental, text, store, graph, retrieval, extract)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

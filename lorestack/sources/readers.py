@@ -43,7 +43,7 @@ def plan_folder(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
 
 
 def scan_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder with size and time of change, without their content."""
+    """Files below a folder with size and time of change, without their content; Spark lists no hidden and no empty files."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
 
 
