@@ -116,7 +116,7 @@ class InvertedLists:
         asked = self._assign(queries, self.probes()).select(F.col("k").alias("query_id"), F.col("v").alias("q"), F.explode("lists").alias("list"))
         pairs = self.table.join(asked, "list").filter(F.col("k") != F.col("query_id"))
         dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-        cosine = dot("q", "v") / F.sqrt(dot("q", "q") * dot("v", "v"))
+        cosine = F.try_divide(dot("q", "v"), F.sqrt(dot("q", "q") * dot("v", "v")))
         scored = pairs.select("query_id", F.col("k").alias("key"), F.round(cosine, 6).alias("similarity")).filter(F.col("similarity") >= least)
         own = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key")
         return scored.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
