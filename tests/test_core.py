@@ -239,3 +239,55 @@ def test_streams(spark, tmp_path):
     query = streams.term_deltas(streams.watch_table(spark, source, rows)).writeStream.format("memory").queryName("deltas").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {r.term: r.df for r in spark.table("deltas").collect()}["harbour"] == 3
+
+
+def test_chunks_and_names():
+    from lorestack.operators import capture
+
+    text = "\n\n".join("This is sentence number %d of a paragraph. " % i * 12 for i in range(6))
+    parts = capture.chunk(text)
+    assert len(parts) > 3 and all(capture.count(p) <= 220 for p in parts) and capture.chunk("") == [] and capture.chunk(None) == []
+    assert all(set(p.split()) <= set(text.split()) for p in parts)
+    assert max(capture.count(p) for p in capture.chunk("word " * 2000)) <= 225
+    spans = {s["text"]: s["type"] for s in capture.name_runs("we met Ana Lopez at Marelholt with Acme Group. Later it rained.")}
+    assert spans["Ana Lopez"] == "person" and spans["Acme Group"] == "organisation" and "Later" not in spans
+
+
+def test_jaccard_join_equals_brute_force(spark):
+    import random
+
+    from lorestack.operators.capture import jaccard_join
+
+    r = random.Random(4)
+    sets = [(i, r.sample("abcdefghij", r.randint(0, 7))) for i in range(120)]
+    df = spark.createDataFrame(sets, "id int, t array<string>")
+    want = {(i, j) for i, x in sets for j, y in sets if i < j and x and y and len(set(x) & set(y)) >= 0.5 * len(set(x) | set(y))}
+    assert {(p.a, p.b) for p in jaccard_join(df, "id", "t", 0.5).collect()} == want
+
+
+def test_export_and_import(spark, tmp_path):
+    from lorestack.sources.exchange import export_workspace, plan_import
+
+    objects = spark.createDataFrame([("o1", "w"), ("o2", "w"), ("o3", "v")], "id string, workspace_id string")
+    rel = spark.createDataFrame([("r1", "w", "o1", "o2"), ("r2", "w", "o1", "gone"), ("r3", "w", "o1", None)], "id string, workspace_id string, src_id string, dst_id string")
+    sums = export_workspace({"knowledge_object": objects, "relation": rel}, "w", str(tmp_path / "e"))
+    plan = plan_import(spark, str(tmp_path / "e"), {"knowledge_object": spark.createDataFrame([("o1",)], "id string")}, sums)
+    assert {r.id for r in plan["knowledge_object"].collect()} == {"o2"} and {r.id for r in plan["relation"].collect()} == {"r1", "r3"}
+    with pytest.raises(ValueError):
+        plan_import(spark, str(tmp_path / "e"), {}, {"knowledge_object": "0"})
+
+
+def test_providers(spark):
+    from lorestack.functions.providers import Provider, Providers
+
+    def fail(capability, task):
+        raise RuntimeError("down")
+
+    p = Providers()
+    p.register(Provider("good", {"tag": (0.9, 100, 50)}, fail, local=False))
+    p.register(Provider("floor", {"tag": (0.3, 1, 0)}, lambda c, t: [t]))
+    assert p.ranked(spark, "tag") == ["good", "floor"] and p.ranked(spark, "tag", prefer="privacy") == ["floor", "good"] and p.ranked(spark, "tag", most=10) == ["floor"]
+    assert p.call(spark, "tag", "x") == ("floor", ["x"]) and [r[2] for r in p.runs] == ["error: down", "ok"]
+    assert p.coverage(["tag", "link"]) == {"tag": ["floor", "good"], "link": []}
+    with pytest.raises(LookupError):
+        p.call(spark, "link", "x")
