@@ -6,19 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorestack.functions import text as T
-from lorestack.session import lookup_join
+from lorestack.session import cut, lookup_join
 
 #: Weight of a term in the title against one in the text, and the saturation of term frequency.
 TITLE_WEIGHT, K1, B = 3, 1.2, 0.75
-
-
-def postings(docs: DataFrame, key: str, title: Column, text: Column) -> DataFrame:
-    """(key, term, w, len): weighted term frequency and the length of the document in terms of title and text.
-
-    Narrow but for one shuffle by (key, term), before which the terms of a document are combined."""
-    rows = docs.select(F.col(key).alias("key"), T.words(title).alias("a"), T.words(text).alias("b"))
-    rows = rows.select("key", (F.size("a") + F.size("b")).alias("len"), F.concat(F.transform("a", lambda t: F.struct(t.alias("term"), F.lit(TITLE_WEIGHT).alias("w"))), F.transform("b", lambda t: F.struct(t.alias("term"), F.lit(1).alias("w")))).alias("p"))
-    return rows.select("key", "len", F.explode("p").alias("p")).groupBy("key", "len", F.col("p.term").alias("term")).agg(F.sum("p.w").alias("w")).select("key", "term", "w", "len")
+#: Terms of a batch of queries up to which they are compared in place; beyond, they are joined.
+FEW_TERMS = 500
 
 
 def bm25(docs: DataFrame, key: str, title: Column, text: Column, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -27,10 +20,16 @@ def bm25(docs: DataFrame, key: str, title: Column, text: Column, queries: DataFr
     Terms that no query has are dropped before the shuffle; document frequencies and lengths are over all documents.
     The queries are broadcast below a checked size. Rank by score rounded to 6 places, then key."""
     wanted = queries.select("query_id", F.explode(F.array_distinct(T.words(F.col("query")))).alias("term"))
-    sizes = docs.select((F.size(T.words(title)) + F.size(T.words(text))).alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).first()  # two numbers
+    few = [r.term for r in wanted.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+    rows = docs.select(F.col(key).alias("key"), T.words(title).alias("a"), T.words(text).alias("b")).withColumn("len", F.size("a") + F.size("b"))
+    if len(few) <= FEW_TERMS:  # texts are read once, and only what the queries ask for is kept of them
+        own = lambda c: F.filter(c, lambda t: t.isin(few))
+        rows = cut(rows.select("key", "len", own("a").alias("a"), own("b").alias("b")))
+    sizes = rows.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).first()  # two numbers
     n, average = sizes.n_docs, sizes.avg_len or 1.0
-    own = lookup_join(postings_of(docs, key, title, text), wanted.select("term").distinct(), ["term"], "left_semi")
-    hits = own.groupBy("key", "len", "term").agg(F.sum("w").alias("w"))
+    head = rows.select("key", "len", F.explode("a").alias("term"), F.lit(TITLE_WEIGHT).alias("w"))
+    every = head.unionByName(rows.select("key", "len", F.explode("b").alias("term"), F.lit(1).alias("w")))
+    hits = lookup_join(every, wanted.select("term").distinct(), ["term"], "left_semi").groupBy("key", "len", "term").agg(F.sum("w").alias("w"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = F.col("w") * (K1 + 1) / (F.col("w") + K1 * ((1 - B) + B * F.col("len") / F.lit(average)))
@@ -39,13 +38,6 @@ def bm25(docs: DataFrame, key: str, title: Column, text: Column, queries: DataFr
     return scored.withColumn("rank", F.row_number().over(own_rank)).filter(F.col("rank") <= k)
 
 
-def postings_of(docs: DataFrame, key: str, title: Column, text: Column) -> DataFrame:
-    """(key, len, term, w) one row per occurrence, before any shuffle."""
-    rows = docs.select(F.col(key).alias("key"), T.words(title).alias("a"), T.words(text).alias("b")).withColumn("len", F.size("a") + F.size("b"))
-    head = rows.select("key", "len", F.explode("a").alias("term"), F.lit(TITLE_WEIGHT).alias("w"))
-    return head.unionByName(rows.select("key", "len", F.explode("b").alias("term"), F.lit(1).alias("w")))
-
-
 def fuse(lists: dict[str, tuple[DataFrame, float]], k0: int = 60) -> DataFrame:
     """(key, score): reciprocal rank fusion of ranked lists (key, rank) with weights."""
     parts = None

@@ -61,12 +61,12 @@ def entity_mention_links(spark, folder):
 
 @query(
     f"""WITH {HEAD}, s AS (SELECT id, list_distinct({duck.content('title')}) AS t FROM head WHERE lower(trim(kind)) <> 'entity'), x AS (SELECT id, unnest(t) AS term FROM s), c AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM x a JOIN x b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2)
-SELECT a AS id_a, b AS id_b, round(n / (len(p.t) + len(q.t) - n), 6) AS similarity FROM c JOIN s p ON p.id = a JOIN s q ON q.id = b WHERE n / (len(p.t) + len(q.t) - n) >= 0.6"""
+SELECT a AS id_a, b AS id_b, round(n / (len(p.t) + len(q.t) - n), 6) AS similarity FROM c JOIN s p ON p.id = a JOIN s q ON q.id = b WHERE n / (len(p.t) + len(q.t) - n) >= 0.8"""
 )
 def similar_titles(spark, folder):
-    """Pairs of objects whose titles share at least 60 % of their terms."""
+    """Pairs of objects whose titles share at least 80 % of their terms."""
     rows = current_rows(ko(spark, folder), "kind", "title").filter(kind_key() != "entity").select("id", T.content_terms(F.col("title")).alias("t"))
-    return C.jaccard_join(rows, "id", "t", 0.6).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.round("similarity", 6).alias("similarity"))
+    return C.jaccard_join(rows, "id", "t", 0.8).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"WITH {HEAD} SELECT id, title, coalesce(occurred_at, created_at) AS moment FROM head WHERE lower(trim(kind)) IN ('note', 'decision') AND origin = 'user' AND state NOT IN ('deleted', 'archived', 'superseded') AND coalesce(occurred_at, created_at) >= TIMESTAMP '2025-03-01' AND coalesce(occurred_at, created_at) < TIMESTAMP '2025-10-01' ORDER BY moment DESC, id LIMIT 80")
