@@ -263,7 +263,8 @@ def _store_pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     shuffled for it.
     """
     objects = table(spark, folder, "knowledge_object").filter("id is not null")
-    enough = F.expr(rf"size(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+', 0)) >= {P2_WORDS}")
+    # possessive runs: reading stops at the last word that is needed
+    enough = F.col("body").rlike(rf"^(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]++){{{P2_WORDS}}}")
     row = F.struct("id", "head_version", "ingested_at")
     every = objects.select(row.alias("key"), F.concat_ws("\n", "title", "body").alias("text"))
     texts = objects.filter((kind_key() != "entity") & enough).select(row.alias("key"), F.concat_ws("\n", "title", "body").alias("text"))
