@@ -87,8 +87,8 @@ def sized_documents(documents: DataFrame, targets: DataFrame, vocabulary: str =
     return sized.withColumn("power", F.when(F.col("tokens") > 0, F.floor(F.log2(F.col("tokens") + 0.5))).otherwise(-1).cast("int"))
 
 
-def _taken(ranked: DataFrame, wanted: DataFrame, value: str, depth: int = 0) -> DataFrame:
-    """(source, limit, left): all rows with `value` below limit are taken, and `left` more tokens from the bin at it."""
+def _taken(ranked: DataFrame, wanted: DataFrame, value: str) -> DataFrame:
+    """(source, bin, left): rows of bins below `bin` are all taken, and `left` more tokens from the bin itself."""
     bins = ranked.groupBy("source", F.floor(F.col(value) * BINS).cast("int").alias("bin")).agg(F.sum("tokens").alias("t"))
     running = F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     at = bins.join(F.broadcast(wanted), "source").withColumn("before", running).filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") >= F.col("rest")))
