@@ -12,7 +12,7 @@ from lorestack.operators import vectors as V
 from lorestack.plans import duck
 from lorestack.plans.base import Registry
 from lorestack.plans.duck import HEAD
-from lorestack.plans.store import NOW, first_rows
+from lorestack.plans.store import NOW
 from lorestack.sources.tables import current_rows, kind_key, table
 
 query = Registry()
