@@ -1,13 +1,13 @@
 """Variant spellings of names typed by people.
 
 Method: names are parsed to tokens without titles, accents, punctuation and forms of business; blocked by phonetic codes
-of their tokens; compared with Jaro-Winkler and a table of everyday forms; accepted pairs are clustered by connected
+of their tokens, those of people also by all that slips can leave of them; compared with Jaro-Winkler and a table of everyday forms; accepted pairs are clustered by connected
 components. Names that say less than a full name (an initial, a login, an acronym) don't join clusters to each other:
 they are attached in a second step, and only where exactly one cluster of the workspace fits best.
 
 Scale: equal names of a workspace are one class before anything is compared, so a name typed a million times is one row.
-Tokens that many names share (given names, learned from counts over all names) make no block alone. Large blocks are
-split into cells. What is broadcast is the table of everyday forms and the common tokens, whose number is at most
+Tokens that many names share (given names, learned from counts over all names) make no phonetic block alone; blocks by
+slips are narrowed by the other tokens where they are large. Large blocks are split into cells. What is broadcast is the table of everyday forms and the common tokens, whose number is at most
 3 / COMMON_SHARE.
 """
 
@@ -18,7 +18,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorestack.operators.blocks import block_pairs
@@ -32,6 +32,9 @@ COMMON_SHARE = 0.002
 #: When two given names are taken for forms of one.
 FORM_CASES, FORM_SHARE = 3, 0.4
 
+#: A block by slips of more people than this is narrowed by what their other tokens can have in common.
+SLIP_BLOCK = 16
+
 # Fixed values.
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "madam", "herr", "frau", "mx"}
 LEGAL = {
@@ -160,10 +163,30 @@ def phonetic(word: str) -> str:
 
 
 def sound_keys(token: str) -> list[str]:
-    """Codes of both ends of a token: one slip leaves one of them as it was, unless the token is short."""
+    """Codes of both ends of a token: one slip leaves one of them as it was, unless the ends overlap (up to 13 letters)."""
     return ["h" + phonetic(token[:7]), "t" + phonetic(token[::-1][:7])]
 
 
+def without(token: str, most: int) -> set[str]:
+    """The token and what is left of it without up to `most` letters: tokens that many slips apart have one in common."""
+    out = last = {token}
+    for _ in range(most):
+        last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
+        out = out | last
+    return out
+
+
+def slip_keys(token: str) -> list[str]:
+    """Two tokens that family_alike accepts have one of these in common."""
+    return sorted(without(token, 0 if len(token) < 5 else 1 if len(token) < 9 else 2))
+
+
+def given_keys(token: str, everyday: dict[str, set[str]]) -> set[str]:
+    """Two tokens that given_alike accepts have one of these in common."""
+    out = {"=" + t for t in everyday.get(token, {token})} | {"~" + t for t in (without(token, 1) if len(token) >= 4 else ())}
+    return out | ({"<" + token[:3]} if len(token) >= 3 else set()) | ({">" + token[-4:]} if len(token) >= 4 else set())
+
+
 def parse_person(tokens: list[str]) -> tuple[str, str, str]:
     """(form, tokens in order, middle initials) of a person's name."""
     words, initials = [t for t in tokens if len(t) > 1], [t for t in tokens if len(t) == 1]
@@ -356,7 +379,7 @@ def link_names(entities: DataFrame, forms: DataFrame) -> DataFrame:
         return pd.Series([keys_of(*x, common) for x in zip(form, name, other, legal)])
 
     blocked = classes.withColumn("key", F.explode(blocks("form", "name", "other", "legal"))).select("ws", "key", "class")
-    pairs = block_pairs(blocked, ["ws", "key"], "class")
+    pairs = block_pairs(blocked.union(slip_blocks(people, everyday)), ["ws", "key"], "class")
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -388,6 +411,29 @@ def link_names(entities: DataFrame, forms: DataFrame) -> DataFrame:
     return named.join(sizes, "cluster").select("id", "cluster")
 
 
+def slip_blocks(people: DataFrame, everyday: dict[str, set[str]]) -> DataFrame:
+    """(ws, key, class) in which any two people (ws, name, class) that same_person accepts meet, however common their tokens."""
+
+    @F.pandas_udf("array<string>")
+    def slipped(token: pd.Series) -> pd.Series:
+        return token.map(slip_keys)
+
+    @F.pandas_udf("array<string>")
+    def narrowed(key: pd.Series, name: pd.Series, at: pd.Series, n: pd.Series) -> pd.Series:
+        def keys(k: str, x: str, i: int, size: int) -> list[str]:
+            if size <= SLIP_BLOCK:
+                return ["s" + k]
+            return sorted({f"s{k}{g}" for j, t in enumerate(x.split()) if j != i for g in given_keys(t, everyday)})
+
+        return pd.Series([keys(*x) for x in zip(key, name, at, n)])
+
+    tokens = people.select("ws", "class", F.posexplode(F.split("name", " ")).alias("at", "token"))
+    keyed = tokens.select("ws", "class", "at", F.explode(slipped("token")).alias("key"))
+    sized = keyed.withColumn("n", F.count("*").over(Window.partitionBy("ws", "key"))).filter("n > 1")
+    name = F.split("class", "\x1f")[2]
+    return sized.select("ws", F.explode(narrowed("key", name, "at", "n")).alias("key"), "class")
+
+
 def learn_forms(people: DataFrame, common: set[str], everyday: dict[str, set[str]]) -> dict[str, set[str]]:
     """The everyday forms and those that the names themselves show: the table is incomplete.
 

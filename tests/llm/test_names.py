@@ -1,5 +1,7 @@
 import json
 
+import numpy as np
+
 from lorestack.llm import names
 
 
@@ -36,3 +38,30 @@ def test_distances():
     assert abs(names.jaro_winkler("martha", "marhta") - 0.9611) < 1e-3 and names.jaro_winkler("", "a") == 0
     assert names.phonetic("robert") == names.phonetic("rupert")
     json.dumps(names.parse_name("Dr. Étienne O’Neil", "person"))
+
+
+def test_one_slip_in_a_short_family_name_beside_a_common_given_name(spark):
+    # "hugo" is common; the slip lies in both phonetic ends of the family name
+    others = ["Belmarin", "Corvandal", "Dosterwick", "Fanlimore", "Gostavel", "Jarrendahl", "Kilpomere", "Lundavek", "Mostrigan", "Nerwindal", "Pascoviel", "Quarrimond", "Rostavig", "Silvermark", "Tormandel", "Umberlund", "Vostrekal", "Wimbledorn"]
+    rows = [("w", "Hugo Yelerkova", "person"), ("w", "Hugo Yeleruova", "person")] + [("w", f"Hugo {x}", "person") for x in others]
+    assert linked(spark, rows) == [[0, 1]]
+
+
+def test_pairs_that_compare_accepts_share_keys():
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefghiklmnoprstuvwyz"), n))
+
+    def slip(w):
+        i = int(rng.integers(len(w) - 1))
+        return [w[:i] + w[i + 1 :], w[:i] + word(1) + w[i:], w[:i] + word(1) + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]][int(rng.integers(4))]
+
+    everyday = names.everyday_forms([("Katherine", "Kate")])
+    for _ in range(3000):
+        a = word(int(rng.integers(4, 14)))
+        b = slip(a) if rng.random() < 0.5 else slip(slip(a))
+        if names.family_alike(a, b):
+            assert set(names.slip_keys(a)) & set(names.slip_keys(b)), (a, b)
+        if names.given_alike(a, b, everyday):
+            assert names.given_keys(a, everyday) & names.given_keys(b, everyday), (a, b)
+    for a, b in (("kate", "katherine"), ("bob", "robert"), ("ann", "annabel"), ("bella", "arabella")):
+        assert names.given_alike(a, b, everyday) and names.given_keys(a, everyday) & names.given_keys(b, everyday)
