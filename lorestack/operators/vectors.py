@@ -16,6 +16,9 @@ from lorestack.session import cut
 #: Vectors of a block, and rows that the centroids are fitted on at most.
 BLOCK, FIT_ROWS = 2048, 8192
 
+#: Recall that the inverted lists reach on held-out rows, two standard errors taken off, and the number of those at most.
+RECALL, HELD_ROWS = 0.9, 256
+
 
 def unit(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x, axis=1, keepdims=True)
@@ -65,14 +68,8 @@ def exact_search(queries: DataFrame, rows: DataFrame, key: str, vector: str, k:
     return near.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
 
 
-def fit_centroids(rows: DataFrame, key: str, vector: str, lists: int, fit_rows: int = FIT_ROWS, rounds: int = 6) -> np.ndarray:
-    """Centroids by k-means on unit vectors of at most `fit_rows` rows, chosen and ordered by a hash of their key."""
-    sample = rows.filter(F.size(F.coalesce(F.col(vector), F.array())) > 0).orderBy(F.xxhash64(key), key).limit(fit_rows).select(vector).collect()
-    if not sample:
-        return np.zeros((0, 0))
-    sizes = [len(r[0]) for r in sample]
-    size = max(set(sizes), key=sizes.count)  # vectors of another length can't be indexed with the rest
-    x = unit(np.array([r[0] for r in sample if len(r[0]) == size], dtype=float))
+def fit_centroids(x: np.ndarray, lists: int, rounds: int = 6) -> np.ndarray:
+    """Centroids by k-means on unit vectors."""
     c = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)].copy()
     for _ in range(rounds):
         at = np.argmax(x @ c.T, axis=1)
@@ -85,35 +82,74 @@ def fit_centroids(rows: DataFrame, key: str, vector: str, lists: int, fit_rows:
 
 class InvertedLists:
     """An index of lists around centroids: fitted on a bounded sample, every row assigned. The centroids (the square root
-    of the rows, at most 65,536) are broadcast."""
+    of the rows, at most 65,536) are broadcast.
+
+    Vectors of each length, of which a table has few, have lists of their own. How many lists a query looks at follows
+    from the recall measured on rows that the centroids weren't fitted on; where it can't be measured, all."""
 
-    def __init__(self, rows: DataFrame, key: str, vector: str, lists: int | None = None):
+    def __init__(self, rows: DataFrame, key: str, vector: str, lists: int | None = None, fit_rows: int = FIT_ROWS):
         self.key, self.vector = key, vector
-        n = rows.count()
-        self.lists = lists or max(1, min(65536, round(math.sqrt(n))))
-        self.centroids = fit_centroids(rows, key, vector, self.lists)
-        self.lists = max(1, len(self.centroids))
-        self.shared = rows.sparkSession.sparkContext.broadcast(self.centroids)
-        self.table = cut(self._assign(rows, 1).withColumn("list", F.col("lists")[0]).select("k", "v", "list"))
-
-    def _assign(self, rows: DataFrame, probes: int) -> DataFrame:
+        sized = rows.filter(F.size(F.coalesce(F.col(vector), F.array())) > 0).select(F.col(key).alias("k"), F.col(vector).alias("v"), F.size(vector).alias("size"))
+        index, held, offset = {}, [], 0
+        for size, n in sorted(map(tuple, sized.groupBy("size").count().collect())):
+            # chosen and ordered by a hash of the key; the first are held out
+            sample = sized.filter(F.col("size") == size).orderBy(F.xxhash64("k"), "k").limit(fit_rows + HELD_ROWS).select("k", "v").collect()
+            out = min(HELD_ROWS, len(sample) // 5)
+            held += [(r.k, r.v) for r in sample[:out]]
+            c = fit_centroids(unit(np.array([r.v for r in sample[out:]], dtype=float)), lists or max(1, min(65536, round(math.sqrt(n)))))
+            index[size] = (c, offset)
+            offset += len(c)
+        self.lists = max(1, offset)
+        self.shared = rows.sparkSession.sparkContext.broadcast(index)
+        self.held = rows.sparkSession.createDataFrame(held, sized.select("k", "v").schema)
+        self.table = cut(self._assign(rows, {size: 1 for size in index}).withColumn("list", F.col("lists")[0]).select("k", "v", "list"))
+        self.measured: dict[tuple[int, float], dict[int, tuple[int, float]]] = {}
+
+    def _assign(self, rows: DataFrame, probes: dict[int, int]) -> DataFrame:
         shared = self.shared
 
         @F.pandas_udf("array<int>")
         def nearest(v: pd.Series) -> pd.Series:
-            c = shared.value
-            s = np.array(v.tolist(), dtype=float).reshape(len(v), -1) @ c.T
-            return pd.Series([np.argsort(-row)[:probes].tolist() for row in s])
-
-        usable = rows.filter(F.size(F.coalesce(F.col(self.vector), F.array())) == (self.centroids.shape[1] if len(self.centroids) else -1))
+            out: list = [None] * len(v)
+            sizes = v.map(len).to_numpy()
+            for size in set(sizes.tolist()) & set(probes):
+                c, offset = shared.value[size]
+                at = np.flatnonzero(sizes == size)
+                s = np.array(v.iloc[at].tolist(), dtype=float).reshape(len(at), -1) @ c.T
+                for i, row in zip(at, s):
+                    out[i] = (np.argsort(-row, kind="stable")[: probes[size]] + offset).tolist()
+            return pd.Series(out)
+
+        usable = rows.filter(F.size(F.coalesce(F.col(self.vector), F.array())).isin([*probes]))
         return usable.select(F.col(self.key).alias("k"), F.col(self.vector).alias("v")).withColumn("lists", nearest("v"))
 
-    def probes(self) -> int:
-        return min(self.lists, max(4, math.ceil(0.12 * self.lists)))
+    def probes(self, k: int = 10, least: float = 0.05) -> dict[int, tuple[int, float]]:
+        """Length of vectors -> (lists to look at, their mean recall on the held-out rows; nan: not measured)."""
+        if (k, least) in self.measured:
+            return self.measured[k, least]
+        index = self.shared.value
+        vectors = {r.k: np.array(r.v, dtype=float) for r in self.held.collect()}  # at most HELD_ROWS a length
+        truth = exact_search(self.held, self.table, "k", "v", k, least).join(self.table.select(F.col("k").alias("key"), "list"), "key")
+        ranks: dict[int, dict] = {size: {} for size in index}
+        for r in truth.select("query_id", "list").collect():  # at most k a held-out row
+            v = vectors[r.query_id]
+            c, offset = index[len(v)]
+            s = c @ v
+            ranks[len(v)].setdefault(r.query_id, []).append(int((np.argsort(-s, kind="stable") == r.list - offset).argmax()))
+        out = {}
+        for size, (c, _) in index.items():
+            out[size] = (len(c), 1.0 if ranks[size] else math.nan)
+            for p in range(1, len(c)) if len(ranks[size]) > 1 else ():
+                each = np.array([np.mean(np.array(x) < p) for x in ranks[size].values()])
+                if each.mean() - 2 * each.std(ddof=1) / math.sqrt(len(each)) >= RECALL:
+                    out[size] = (p, float(each.mean()))
+                    break
+        self.measured[k, least] = out
+        return out
 
     def search(self, queries: DataFrame, k: int = 10, least: float = 0.05) -> DataFrame:
         """(query_id, key, similarity, rank) from the lists nearest to each query."""
-        asked = self._assign(queries, self.probes()).select(F.col("k").alias("query_id"), F.col("v").alias("q"), F.explode("lists").alias("list"))
+        asked = self._assign(queries, {size: p for size, (p, _) in self.probes(k, least).items()}).select(F.col("k").alias("query_id"), F.col("v").alias("q"), F.explode("lists").alias("list"))
         pairs = self.table.join(asked, "list").filter(F.col("k") != F.col("query_id"))
         dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
         cosine = F.try_divide(dot("q", "v"), F.sqrt(dot("q", "q") * dot("v", "v")))

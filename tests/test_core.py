@@ -188,6 +188,19 @@ def test_vector_search(spark):
     assert recall(index.search(queries.filter("id < 900"), k=5), truth.filter("query_id < 900")).agg(F.avg("recall")).first()[0] >= 0.9
 
 
+def test_inverted_lists_reach_their_recall_without_clusters(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    data = [(i, [float(x) for x in rng.normal(size=24 if i % 4 else 12)]) for i in range(1600)]
+    df = spark.createDataFrame(data, "id int, v array<double>")
+    queries = df.filter("id % 40 in (0, 1)")  # of both lengths
+    index = InvertedLists(df, "id", "v")
+    each = recall(index.search(queries), exact_search(queries, df, "id", "v"))
+    assert index.table.count() == 1600 and each.count() == 80
+    assert {r.s: r.r >= 0.9 for r in each.join(df, each.query_id == df.id).groupBy(F.size("v").alias("s")).agg(F.avg("recall").alias("r")).collect()} == {12: True, 24: True}
+
+
 # --- graph, history, readers, streams ----------------------------------------------------------------------------------
 def test_graph(spark):
     rows = [("e1", "a", "part_of", "b", "user", 0.5, day(1), day(1)), ("e1", "a", "part_of", "b", "user", 0.5, day(1), day(2)), ("e2", "b", "part_of", "c", "ai", 0.5, day(1), day(1)), ("e3", "a", "part_of", "b", "ai", 0.9, day(9), day(1)), ("e4", "c", "mentions", "c", "ai", 0.9, day(9), day(1)), ("e5", "c", "mentions", None, "ai", 0.9, day(9), day(1))]
