@@ -69,3 +69,11 @@ def test_trees_learn():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
     for model in (Bagged.fit(x, y), Boosted.fit(x, y)):
         assert ((model.predict(x) > 0.5) == y).mean() > 0.95
+
+
+def test_misread_words_are_found_though_some_clean_text_has_them(spark):
+    known = ["earlier", "compass", "harbour", "modern", "turbine", "festival", "kitchen", "archive", "forecast", "schedule", "measure", "station", "building", "calendar", "delivery", "council", "project", "window", "garden", "budget", "library", "minutes", "morning", "quarter", "railway", "shelter", "therefore", "village", "weather", "question"]
+    for size in (1, 10):  # alike at every size
+        rows = [(w, 700 * size, 300 * size, 0) for w in known] + [("modem", 70 * size, 30 * size, 0), ("e@rlier", size, 3 * size, 0), ("c0mpass", size, 2 * size, 0), ("harb0ur", 0, 2 * size, 0)]
+        counts = spark.createDataFrame(rows, "word string, clean long, scanned long, cut long")
+        assert {tuple(r) for r in scans.find_corrections(counts).collect()} == {("e@rlier", "earlier"), ("c0mpass", "compass"), ("harb0ur", "harbour")}
