@@ -61,14 +61,28 @@ def sync_decisions(local: DataFrame, remote: DataFrame) -> DataFrame:
     return l.join(r, "id", "full_outer").select("id", decision.alias("decision"))
 
 
-def change_feed(streams: dict[str, DataFrame], cursor: str, limit: int) -> DataFrame:
-    """(stream, id, ingested_at) of rows after a cursor, at most `limit` a stream, by (ingested_at, id).
+def after(rows: DataFrame, cursor: tuple[str, str | None]) -> DataFrame:
+    """Rows past a cursor (instant, id); without an id, past the whole instant."""
+    at, last = F.lit(str(cursor[0])).cast("timestamp_ntz"), cursor[1]
+    past = F.col("ingested_at") > at
+    return rows.filter(past if last is None else past | (F.col("ingested_at") == at) & (F.col("id") > last))
 
-    The cursor is a pair (instant, id), so ties at a page's end are neither skipped nor repeated.
+
+def change_feed(streams: dict[str, DataFrame], cursors: dict[str, tuple[str, str | None]], limit: int) -> DataFrame:
+    """(stream, id, ingested_at) of rows after each stream's cursor, at most `limit` a stream, by (ingested_at, id).
+
+    A cursor is a pair (instant, id), so ties at a page's end are not skipped; feed_state gives the next ones.
     """
     out = None
     for name, df in streams.items():
-        rows = df.filter(F.col("ingested_at") > F.lit(cursor).cast("timestamp_ntz")).select("id", "ingested_at").orderBy("ingested_at", "id").limit(limit)
+        rows = after(df, cursors[name]).select("id", "ingested_at").orderBy("ingested_at", "id").limit(limit)
         rows = rows.select(F.lit(name).alias("stream"), "id", "ingested_at")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def feed_state(streams: dict[str, DataFrame], cursors: dict[str, tuple[str, str | None]], page: DataFrame) -> dict[str, tuple[tuple[str, str | None], bool]]:
+    """Stream -> (its cursor after a page of change_feed, complete: nothing is left after it)."""
+    last = {r.stream: (str(r.m.ingested_at), r.m.id) for r in page.groupBy("stream").agg(F.max(F.struct("ingested_at", "id")).alias("m")).collect()}
+    cursors = {name: last.get(name, cursors[name]) for name in streams}
+    return {name: (cursors[name], after(df, cursors[name]).isEmpty()) for name, df in streams.items()}

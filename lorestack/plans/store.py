@@ -121,7 +121,8 @@ def import_dangling(spark, folder):
 SELECT * FROM o UNION ALL SELECT * FROM r"""
 )
 def change_feed(spark, folder):
-    return H.change_feed({"objects": ko(spark, folder), "relations": table(spark, folder, "relation")}, "2025-09-01 00:00:00", 400)
+    streams = {"objects": ko(spark, folder), "relations": table(spark, folder, "relation")}
+    return H.change_feed(streams, dict.fromkeys(streams, ("2025-09-01 00:00:00", None)), 400)
 
 
 @query("SELECT id, arg_min(title, (-head_version, ingested_at)) AS title, max(head_version) AS head_version FROM knowledge_object WHERE ingested_at <= TIMESTAMP '2025-08-01' GROUP BY id")

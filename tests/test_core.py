@@ -304,3 +304,17 @@ def test_providers(spark):
     assert p.coverage(["tag", "link"]) == {"tag": ["floor", "good"], "link": []}
     with pytest.raises(LookupError):
         p.call(spark, "link", "x")
+
+
+def test_change_feed_delivers_ties_over_pages(spark):
+    from lorestack.operators.history import change_feed, feed_state
+
+    rows = [(f"i{n}", day(1 if n < 7 else 2)) for n in range(9)]
+    streams = {"a": spark.createDataFrame(rows, "id string, ingested_at timestamp_ntz")}
+    cursors, seen, complete = {"a": ("2000-01-01 00:00:00", None)}, [], False
+    while not complete and len(seen) < 20:
+        page = change_feed(streams, cursors, 3)
+        seen += [r.id for r in page.collect()]
+        cursor, complete = feed_state(streams, cursors, page)["a"]
+        cursors = {"a": cursor}
+    assert sorted(seen) == [r[0] for r in rows]
