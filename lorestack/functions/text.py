@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Accented Latin letters and what they fold to, words without content, words that end like inflections.
-ACCENTED = "àáâãäåāçćčèéêëēěìíîïīñńňòóôõöøōùúûüūýÿžźżšśřłťďÀÁÂÃÄÅĀÇĆČÈÉÊËĒĚÌÍÎÏĪÑŃŇÒÓÔÕÖØŌÙÚÛÜŪÝŽŹŻŠŚŘŁŤĎ"
-FOLDED = "aaaaaaaccceeeeeeiiiiinnnooooooouuuuuyyzzzssrltdAAAAAAACCCEEEEEEIIIIINNNOOOOOOOUUUUUYZZZSSRLTD"
+# Words without content, words that end like inflections.
 STOPWORDS = (
     "a an the and or but if then else of in on at to for from by with without about as is are was were be been being do does did doing have has had having i me my we our you your he she it "
     "they them this that these those there here what which who whom when where why how not no nor so than too very can will just should now also into over under again further once "
-    "because therefore however although while whereas since thus hence moreover furthermore their its his her ours am would could might must shall may such more most many much some any all both each "
+    "because therefore however although while whereas since thus hence moreover furthermore their its his her us am would could might must shall may such more most many much some any all both each "
     "every other another same one two three first second next last new old own via per upon within"
 ).split()
 WHOLE_WORDS = (
@@ -23,15 +23,52 @@ WHOLE_WORDS = (
 )
 
 
+def _bare(char: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", char) if not 0x300 <= ord(c) <= 0x36F)
+
+
+def _folding() -> tuple[str, str, list[tuple[str, str]]]:
+    """By rule, of all characters of the basic plane but the syllables of Korean: (characters, the first character of
+    their decomposition, [(characters, what follows the first)]) where the rest is a mark of kana or Latin letters or dots."""
+    chars, firsts, rests = [], [], {}
+    for c in (chr(i) for i in range(0x80, 0x10000) if not 0xAC00 <= i <= 0xDFFF):
+        bare = _bare(c)
+        if bare == c or not bare or len(bare) > 1 and not (bare[1:] in ("\u3099", "\u309a") or re.fullmatch("[A-Za-z]{2,3}|[.]{2,3}", bare)):
+            continue
+        chars.append(c)
+        firsts.append(bare[0])
+        if len(bare) > 1:
+            rests.setdefault(bare[1:], []).append(c)
+    common = [(rest, "".join(x)) for rest, x in rests.items() if rest in ("\u3099", "\u309a", "i", "l", "f", "fi", "fl", ".", "..")]
+    multiple = {c for x in rests.values() for c in x} - {c for _, x in common for c in x}
+    kept = [(c, f) for c, f in zip(chars, firsts) if c not in multiple]
+    return "".join(c for c, _ in kept), "".join(f for _, f in kept), common
+
+
+_CHARS, _FIRSTS, _RESTS = _folding()
+
+
 def fold(text: Column) -> Column:
-    """Lower case without accents on Latin letters."""
-    return F.lower(F.translate(text, ACCENTED, FOLDED))
+    """Compatibility decomposition without accents, lower case.
+
+    Equals nfkd() but for syllables of Korean and signs that stand for several letters other than f-ligatures and dots
+    (units, fractions), which stay whole. Plain ASCII is only lowered."""
+    out = text
+    for rest, chars in _RESTS:
+        out = F.regexp_replace(out, f"([{chars}])", f"$1{rest}")
+    out = F.regexp_replace(F.translate(out, _CHARS, _FIRSTS), "[\u0300-\u036f]", "")
+    return F.lower(F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(text))
 
 
 @F.pandas_udf(StringType())
 def nfkd(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining accents, lower case: fold() for every script."""
-    return text.map(lambda t: t if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not 0x300 <= ord(c) <= 0x36F).lower())
+    """Compatibility decomposition without combining accents, lower case, for every script."""
+    return text.map(lambda t: t if t is None else _bare(t).lower())
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def tokenize(text: Column) -> Column:
@@ -53,8 +90,8 @@ def content_terms(text: Column) -> Column:
 
 def stem(term: Column) -> Column:
     """One inflectional ending less, then a silent e less; a key to match by, not a word."""
-    undouble = lambda t: F.when(t.rlike(r"([bdfglmnprt])\1$"), F.regexp_replace(t, r".$", "")).otherwise(t)
-    cut = lambda n: F.regexp_replace(term, rf".{{{n}}}$", "")
+    undouble = lambda t: F.when(t.rlike(r"([bdfglmnprt])\1$"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
+    cut = lambda k: F.substring(term, F.lit(1), F.length(term) - k)
     n = F.length(term)
     stripped = (
         F.when(term.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y")))
@@ -62,12 +99,12 @@ def stem(term: Column) -> Column:
         .when(term.rlike("(ss|us|is)$"), term)
         .when((n > 4) & term.rlike("(ch|sh|x|z|s)es$"), cut(2))
         .when(term.endswith("s"), cut(1))
-        .when(term.endswith("ing") & (n > 5), undouble(cut(3)))
-        .when(term.endswith("ed") & ~term.endswith("eed") & (n > 4), undouble(cut(2)))
+        .when(term.endswith("ing") & (n > 5), let(cut(3), undouble))
+        .when(term.endswith("ed") & ~term.endswith("eed") & (n > 4), let(cut(2), undouble))
         .otherwise(term)
     )
-    silent = F.when((F.length(stripped) > 3) & stripped.endswith("e"), F.regexp_replace(stripped, r".$", "")).otherwise(stripped)
-    return F.when((n < 4) | term.isin(WHOLE_WORDS), term).otherwise(silent)
+    silent = lambda t: F.when((F.length(t) > 3) & t.endswith("e"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
+    return F.when((n < 4) | term.isin(WHOLE_WORDS), term).otherwise(let(stripped, silent))
 
 
 def match_terms(text: Column) -> Column:
@@ -86,17 +123,20 @@ def estimate_tokens(text: Column) -> Column:
     return F.greatest(F.ceil(F.length(text) / 4), F.ceil(count * F.lit(1.3))).cast("long")
 
 
-#: Abbreviations that end no sentence.
-ABBREVIATION = r"\b(Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|vs|etc|e\.g|i\.e|cf|No|Fig|Inc|Ltd|Co)\."
+# Abbreviations that end no sentence, and all white space.
+ABBREVIATION = r"(?i)(?<![A-Za-z0-9_])(Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|vs|etc|approx|no|fig|vol|ch)\."
+LETTERS = (r"(?i)(?<![A-Za-z0-9_])(e)\.(g\.)", r"(?i)(?<![A-Za-z0-9_])(i)\.(e\.)", r"(?<![A-Za-z0-9_])([A-Z])\.()")
+SPACE = r"[\s\x{000B}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
 def sentences(text: Column) -> Column:
-    """Sentences: cut after . ! ? and a blank before a capital, digit, quote or bracket, and at empty lines."""
+    """Sentences: cut after . ! ? and a blank before a capital, digit, quote or bracket, and at empty lines; full stops of
+    abbreviations (in any case) and of single capitals don't count."""
     guarded = F.regexp_replace(F.coalesce(text, F.lit("")), ABBREVIATION, "$1\u0001")
-    guarded = F.regexp_replace(guarded, r"\b([A-Z])\.(?=\s)", "$1\u0001")
-    marked = F.regexp_replace(guarded, r"([.!?][\"')\]]*)\s+([\p{Lu}\p{N}\"'(\[])", "$1\u0002$2")
-    parts = F.split(F.regexp_replace(marked, r"\n\s*\n", "\u0002"), "\u0002")
-    return F.filter(F.transform(parts, lambda s: F.regexp_replace(F.translate(s, "\u0001", "."), r"^\s+|\s+$", "")), lambda s: F.length(s) > 0)
+    for pattern in LETTERS:
+        guarded = F.regexp_replace(guarded, pattern, "$1\u0001$2")
+    parts = F.split(guarded, rf"(?<=[.!?]){SPACE}+(?=[A-Z0-9\"'\[(])|\n{{2,}}")
+    return F.filter(F.transform(parts, lambda s: F.regexp_replace(F.translate(s, "\u0001", "."), rf"^{SPACE}+|{SPACE}+$", "")), lambda s: F.length(s) > 0)
 
 
 def lexical_similarity(a: Column, b: Column) -> Column:
@@ -131,34 +171,37 @@ def compare_names(a: Column, b: Column) -> Column:
     )
 
 
-def excerpt(text: Column, term: str, size: int = 240) -> Column:
-    """`size` characters that start a third of it before the first match, with ellipses where text is left out."""
-    at = F.locate(term, F.lower(text))
+def excerpt(text: Column, terms: Sequence[str], size: int = 240) -> Column:
+    """`size` characters that start a third of it before the first match of any term, with ellipses where text is left
+    out; without a match, the beginning. Empty for null."""
+    folded = fold(text)
+    places = F.filter(F.array(*[F.locate(t, folded) for t in terms], F.lit(0)), lambda p: p > 0)
+    at = F.when(F.size(places) > 0, F.array_min(places))
     start = F.greatest(F.lit(1), at - size // 3)
-    part = F.substring(text, start, F.lit(size))
     head = F.when(start > 1, F.lit("…")).otherwise(F.lit(""))
-    tail = F.when(start + size - 1 < F.length(text), F.lit("…")).otherwise(F.lit(""))
-    return F.concat(head, part, tail)
+    tail = lambda first: F.when(first + size - 1 < F.length(text), F.lit("…")).otherwise(F.lit(""))
+    part = F.regexp_replace(F.substring(text, start, F.lit(size)), rf"^{SPACE}+|{SPACE}+$", "")
+    window = F.when(at.isNull(), F.concat(F.substring(text, 1, size), tail(F.lit(1)))).otherwise(F.concat(head, part, tail(start)))
+    return F.coalesce(window, F.lit(""))
 
 
 def looks_structured(line: Column) -> Column:
-    """Whether a line is a table row, settings, code, a ruler or mostly signs rather than prose."""
-    letters, signs = F.length(F.regexp_replace(line, r"[^\p{L}]", "")), F.length(F.regexp_replace(line, r"[\p{L}\p{N}\s]", ""))
+    """Whether a line is a table row, settings, code, a comment, a ruler or mostly signs rather than prose."""
+    letters, signs = F.length(F.regexp_replace(line, r"[^A-Za-z]", "")), F.length(F.regexp_replace(line, r"[^=<>{}\[\]|;:\\/\"'`_*#+]", ""))
     return (
         (F.regexp_count(line, F.lit(r"\|")) >= 3)
-        | (F.regexp_count(line, F.lit(r"[A-Za-z_]\w* ?= ?\S")) >= 2)
-        | line.rlike(r"^\s*(//|/\*|#!|<!--)")
-        | line.rlike(r"^\s*[-=_*]{4,}\s*$")
-        | (signs > letters * 0.35)
+        | (F.regexp_count(line, F.lit(r"[\w\]\"']\s*=\s*[\[{\"'\w]")) >= 2)
+        | line.rlike(r"\|\s*-{3,}|<!--|-->|^\s*(//|--|#!)|={5,}|-{5,}|\b(require|function|const|local|import)\s*[({]")
+        | ((letters > 0) & (signs > letters * 0.35))
     )
 
 
 def strip_addresses(text: Column) -> Column:
     """Text without code, links and file paths."""
     out = text
-    for pattern in (r"(?s)```.*?```", r"`[^`\n]*`", r"https?://\S+", r"\b[A-Za-z]:\\\S+", r"(^|\s)/[\w.-]+(/[\w.-]+)+"):
+    for pattern in (r"(?s)```.*?```", r"`[^`]*`", r"(?i)\bhttps?://\S+", r"%\w+%[\\/][^\s\"']*", r"\b[A-Za-z]:\\[^\s\"']*", r"\.{0,2}[\\/][\w.-]+(?:[\\/][\w.-]+)+"):
         out = F.regexp_replace(out, pattern, " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return out
 
 
 def title_line(text: Column, limit: int = 120) -> Column:
@@ -176,3 +219,60 @@ def duration_ms(text: Column) -> Column:
 def round_half(value: Column, digits: int = 6) -> Column:
     """Rounds half up in double arithmetic, the same in every engine."""
     return F.floor(value * F.lit(float(10**digits)) + F.lit(0.5)) / F.lit(float(10**digits))
+
+
+# --- twins in Python, for questions on the driver and for passes over whole rows ------------------------------------------
+_ABBREVIATION, _LETTERS = re.compile(ABBREVIATION), [re.compile(p) for p in LETTERS]
+_JS_SPACE = "\\s\u000b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_BREAK = re.compile(rf"(?<=[.!?])[{_JS_SPACE}]+(?=[A-Z0-9\"'\[(])|\n{{2,}}")
+_STRIP = re.compile(rf"^[{_JS_SPACE}]+|[{_JS_SPACE}]+$")
+_STOP, _WHOLE = frozenset(STOPWORDS), frozenset(WHOLE_WORDS)
+_FOLD = str.maketrans(_CHARS, _FIRSTS)
+_REST = {ord(c): _bare(c) for _, chars in _RESTS for c in chars}
+_MARKS = re.compile("[\u0300-\u036f]")
+_TERM = re.compile(r"(?:[^\W_]|[._-])+")
+_SHORT_NUMBER = re.compile(r"[0-9]{1,3}")
+
+
+def py_sentences(text: str | None) -> list[str]:
+    guarded = _ABBREVIATION.sub("\\1\x01", text or "")
+    for pattern in _LETTERS:
+        guarded = pattern.sub("\\1\x01\\2", guarded)
+    return [s for s in (_STRIP.sub("", p.replace("\x01", ".")) for p in _BREAK.split(guarded)) if s]
+
+
+def py_fold(text: str) -> str:
+    if text.isascii():
+        return text.lower()
+    return _MARKS.sub("", text.translate(_REST).translate(_FOLD)).lower()
+
+
+def py_tokens(text: str | None) -> list[str]:
+    return [t for t in (m.strip("._-") for m in _TERM.findall(py_fold(text or ""))) if 0 < len(t) < 64]
+
+
+def py_content_terms(text: str | None) -> list[str]:
+    return [t for t in py_tokens(text) if len(t) > 1 and t not in _STOP and not _SHORT_NUMBER.fullmatch(t)]
+
+
+def py_stem(t: str) -> str:
+    if len(t) < 4 or t in _WHOLE:
+        return t
+    undouble = lambda x: x[:-1] if len(x) > 1 and x[-1] == x[-2] and x[-1] in "bdfglmnprt" else x
+    if t.endswith("ies") and len(t) > 4:
+        s = t[:-3] + "y"
+    elif t.endswith("sses"):
+        s = t[:-2]
+    elif t.endswith(("ss", "us", "is")):
+        s = t
+    elif len(t) > 4 and t.endswith(("ches", "shes", "xes", "zes", "ses")):
+        s = t[:-2]
+    elif t.endswith("s"):
+        s = t[:-1]
+    elif t.endswith("ing") and len(t) > 5:
+        s = undouble(t[:-3])
+    elif t.endswith("ed") and not t.endswith("eed") and len(t) > 4:
+        s = undouble(t[:-2])
+    else:
+        s = t
+    return s[:-1] if len(s) > 3 and s.endswith("e") else s

@@ -12,58 +12,63 @@ from pyspark.sql import functions as F
 
 from lorestack.functions import text as T
 from lorestack.operators.blocks import block_pairs
-
-_ABBREVIATION = re.compile(T.ABBREVIATION)
-_BREAK = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[A-Z0-9\"'(\[])")
-
+from lorestack.session import cut, lookup_join
 
 def count(text: str) -> int:
     return max(math.ceil(len(text) / 4), math.ceil(len(text.split()) * 1.3))
 
 
-def chunk(text: str, target: int = 220, overlap: int = 1) -> list[str]:
-    """Paragraphs packed by sentences to about `target` tokens; a chunk repeats the last `overlap` sentences of the one
-    before. Sentences over the target are cut at words. A paragraph's end flushes a chunk that is over 60 % full."""
-    out: list[str] = []
-    current: list[str] = []
-    fresh = 0
-
-    def flush() -> None:
-        nonlocal current, fresh
-        if fresh:
-            out.append(" ".join(current))
-        current, fresh = current[-overlap:] if overlap else [], 0
-
-    for paragraph in re.split(r"\n\s*\n", text or ""):
-        guarded = _ABBREVIATION.sub(lambda m: m.group(0)[:-1] + "\x01", " ".join(paragraph.split()))
-        for sentence in filter(None, (s.replace("\x01", ".").strip() for s in _BREAK.split(guarded))):
-            words = sentence.split()
-            step = max(1, int(target / 1.3))
-            for piece in [sentence] if count(sentence) <= target else [" ".join(words[i : i + step]) for i in range(0, len(words), step)]:
-                if fresh and count(" ".join([*current, piece])) > target:
-                    flush()
-                if current and not fresh and count(" ".join([*current, piece])) > target:
-                    current = []
-                current.append(piece)
-                fresh += 1
-        if fresh and count(" ".join(current)) > 0.6 * target:
-            flush()
-    if fresh:
-        out.append(" ".join(current))
+def chunk(text: str | None, target: int = 220, overlap: int = 1) -> list[tuple[str, int, int]]:
+    """(chunk, tokens, offset): sentences packed to about `target` tokens; a chunk begins with the last `overlap` sentences
+    of the one before. Longer sentences are cut at words. A paragraph's end closes a chunk that is over 60 % full.
+
+    offset is where the chunk's first sentence stands, 0 where white space in it was put right."""
+    if not text or not text.strip():
+        return []
+    out: list[tuple[str, int, int]] = []
+    held: list[tuple[str, int]] = []
+    seen = 0
+
+    def close() -> None:
+        nonlocal held, seen
+        if held:
+            whole = " ".join(s for s, _ in held)
+            at = max(text.find(held[0][0], seen), 0)
+            seen = at + 1
+            out.append((whole, count(whole), at))
+            held = held[-overlap:] if overlap else []
+
+    for paragraph in re.split(r"\n{2,}", text):
+        for sentence in T.py_sentences(paragraph):
+            size = count(sentence)
+            if size > target:
+                close()
+                words, step = sentence.split(), max(1, int(target / 1.3))
+                for i in range(0, len(words), step):
+                    piece = " ".join(words[i : i + step])
+                    out.append((piece, count(piece), max(text.find(piece, seen), 0)))
+                held = []
+                continue
+            if sum(n for _, n in held) + size > target:
+                close()
+            held.append((sentence, size))
+        if sum(n for _, n in held) > 0.6 * target:
+            close()
+    close()
     return out
 
 
 def chunk_texts(docs: DataFrame, key: str, text: str, target: int = 220) -> DataFrame:
-    """(key, seq, chunk, hash) of each text; none for null and blank texts."""
+    """(key, seq, chunk, tokens, offset, hash) of each text; none for null and blank texts."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(k, i, c) for k, t in zip(frame["key"], frame["text"]) for i, c in enumerate(chunk(t, target))]
-            yield pd.DataFrame(rows, columns=["key", "seq", "chunk"])
+            rows = [(k, i, *c) for k, t in zip(frame["key"], frame["text"]) for i, c in enumerate(chunk(t, target))]
+            yield pd.DataFrame(rows, columns=["key", "seq", "chunk", "tokens", "offset"])
 
-    cut = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, seq int, chunk string")
-    return cut.withColumn("hash", F.sha2(F.concat_ws("\x1f", F.lit("chunk"), "chunk"), 256))
+    parts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, seq int, chunk string, tokens int, offset int")
+    return parts.withColumn("hash", F.sha2(F.concat_ws("\x1f", F.lit("chunk"), "chunk"), 256))
 
 
 def stride_chunks(docs: DataFrame, key: str, text: Column, size: int = 400, step: int = 360) -> DataFrame:
@@ -80,16 +85,6 @@ def index_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, ["key", "hash"], "full_outer").select("key", "hash", change.alias("change"))
 
 
-def mentions(texts: DataFrame, entities: DataFrame) -> DataFrame:
-    """(id, entity_id, n): where texts (id, workspace_id, text) name entities (id, workspace_id, title) of their workspace by
-    two words in a row. Names are matched by key, so this is one join and no scan of names per text."""
-    w = texts.select("id", "workspace_id", T.words(F.col("text")).alias("w")).filter(F.size("w") > 1)
-    grams = w.select("id", "workspace_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).alias("name"))
-    names = entities.select(F.col("id").alias("entity_id"), "workspace_id", F.array_join(T.words(F.col("title")), " ").alias("name")).filter(F.size(F.split("name", " ")) == 2)
-    counted = grams.groupBy("id", "workspace_id", "name").agg(F.count("*").alias("n"))
-    return counted.join(names, ["workspace_id", "name"]).filter(F.col("id") != F.col("entity_id")).select("id", "entity_id", "n")
-
-
 def jaccard_join(sets: DataFrame, key: str, terms: str, threshold: float) -> DataFrame:
     """(a, b, similarity): pairs of sets alike to at least `threshold`, exact, without comparing all pairs.
 
@@ -101,37 +96,127 @@ def jaccard_join(sets: DataFrame, key: str, terms: str, threshold: float) -> Dat
     # terms of one set alone join nothing, but keep their place at the rare end
     placed = each.join(rarity, "term", "left").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("df", F.lit(1)), "term")))
     prefix = placed.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & F.col("df").isNotNull()).select("term", "key")
-    pairs = block_pairs(prefix, ["term"], "key")
+    pairs = block_pairs(cut(prefix), ["term"], "key")
     both = pairs.join(rows.select(F.col("key").alias("a"), F.col("t").alias("x")), "a").join(rows.select(F.col("key").alias("b"), F.col("t").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
-_RUN = re.compile(r"(?:\b[A-Z][\w'-]+)(?:\s+(?:of|the|and)?\s*[A-Z][\w'-]+){0,3}")
-#: Ends of organisations' and places' names.
-_ORGANISATION = re.compile(r"\b(?:Inc|Ltd|LLC|GmbH|Corp|Group|Institute|University|Council|Agency|Committee|Foundation|Works|Partners)\b\.?$")
-_PLACE = re.compile(r"(?:ton|ford|haven|bury|stad|holt|vik|gard|mere|moor|wick|rath|sund|lund|beck|crest|dale|nes)$")
-
-
-def name_runs(text: str) -> list[dict]:
-    """Capitalised runs as typed spans; single words that begin a sentence are left out."""
+_LETTER = "a-zà-öø-ÿ"
+_RUN = re.compile(rf"(?<![A-Za-z0-9_])([A-Z][{_LETTER}]+(?:[ \t]+(?:of|and|&|[A-Z][{_LETTER}]*)){{0,3}})(?![A-Za-z0-9_])")
+# Ends of organisations' names, words before a name, capitalised words that are none, words that begin or end
+# a heading rather than a name.
+_ORGANISATION = re.compile(r"\b(ltd|limited|inc|llc|llp|plc|gmbh|corp|corporation|company|co|group|holdings|partners|labs|technologies|systems|foundation|university|institute)\b\.?$", re.I | re.A)
+_LEADING = re.compile(r"^(?:The|A|An|This|That|These|Those|Our|My|Their|Its|Project|Team|Mr|Mrs|Ms|Dr)\s+")
+_NO_NAME = frozenset(
+    "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december the this that there we i it they he she but and if when "
+    "however all every each some any both no most many few several another other such only also these those".split()
+)
+_NO_FIRST = frozenset(
+    "why what when where how who which whether requires require start starting using use adding add building build running run getting get writing write installing install testing test making make "
+    "setting reading read choosing choose status note warning".split()
+)
+_NO_LAST = frozenset(
+    "rules proposal server model project design specification objects structure interpolation resolutions reference guide notes summary overview status roadmap syntax grammar api sdk cli spec docs readme "
+    "license changelog support tooling toolchain runtime compiler parser engine memory language version release example examples test tests benchmark benchmarks performance installation usage text editor "
+    "studio code console terminal shell kit suite pack packages plugin extension library framework".split()
+)
+# Countries and cities that a bare name means, and ends of places' names.
+COUNTRIES = frozenset(
+    "afghanistan,albania,algeria,argentina,armenia,australia,austria,azerbaijan,bahrain,bangladesh,belarus,belgium,bhutan,bolivia,bosnia,botswana,brazil,bulgaria,cambodia,cameroon,canada,chile,china,colombia,"
+    "croatia,cuba,cyprus,czechia,denmark,ecuador,egypt,estonia,ethiopia,finland,france,georgia,germany,ghana,greece,guatemala,hungary,iceland,india,indonesia,iran,iraq,ireland,israel,italy,jamaica,japan,jordan,"
+    "kazakhstan,kenya,kuwait,kyrgyzstan,laos,latvia,lebanon,libya,lithuania,luxembourg,madagascar,malaysia,maldives,mali,malta,mexico,moldova,mongolia,montenegro,morocco,mozambique,myanmar,namibia,nepal,"
+    "netherlands,nicaragua,nigeria,norway,oman,pakistan,panama,paraguay,peru,philippines,poland,portugal,qatar,romania,russia,rwanda,saudi arabia,senegal,serbia,singapore,slovakia,slovenia,somalia,spain,sudan,"
+    "sweden,switzerland,syria,taiwan,tajikistan,tanzania,thailand,tunisia,turkey,uganda,ukraine,uruguay,uzbekistan,venezuela,vietnam,yemen,zambia,zimbabwe,south korea,north korea,south africa,new zealand,"
+    "sri lanka,united states,united kingdom,united arab emirates,costa rica,dominican republic,papua new guinea,ivory coast,hong kong,usa,uk,uae,us,britain,england,scotland,wales".split(",")
+)
+CITIES = frozenset(
+    "tokyo,delhi,shanghai,dhaka,cairo,mumbai,beijing,osaka,karachi,chongqing,istanbul,buenos aires,kolkata,lagos,manila,guangzhou,bangalore,bengaluru,shenzhen,moscow,jakarta,lahore,seoul,bangkok,chennai,hyderabad,"
+    "london,tehran,paris,chicago,toronto,bogota,lima,johannesburg,hanoi,riyadh,santiago,madrid,singapore,sydney,melbourne,berlin,rome,amsterdam,barcelona,vienna,dublin,lisbon,copenhagen,stockholm,oslo,helsinki,"
+    "warsaw,prague,budapest,athens,zurich,geneva,munich,hamburg,frankfurt,milan,brussels,dubai,doha,tel aviv,new york,los angeles,san francisco,seattle,boston,austin,denver,atlanta,miami,houston,dallas,"
+    "philadelphia,phoenix,washington,vancouver,montreal,ottawa,calgary,auckland,wellington,perth,brisbane,pune,ahmedabad,jaipur,kochi,surat,lucknow,nagpur,indore,chandigarh,noida,gurgaon,gurugram,kathmandu,"
+    "colombo,taipei,kyoto,busan".split(",")
+)
+PLACE_END = r"(?i)\b(street|road|avenue|lane|boulevard|highway|bridge|airport|station|harbour|harbor|port|park|square|plaza|valley|island|beach|bay|river|lake|mountain|county|province|district|city|town|village|campus)\b$"
+_PLACE_END = re.compile(PLACE_END, re.A)
+# What is named by the phrase around it.
+_CUED = (
+    ("project", 0.7, re.compile(r"\b(?:[Pp]roject\s+([A-Z][\w-]*)|(?:[Tt]he\s+)?((?![Tt]he\b)[A-Z][\w-]*(?:[ \t](?!migration|project)[A-Z][\w-]*)?)\s+(?:project|migration|rollout|initiative|programme|program|rewrite))\b", re.A)),
+    ("product", 0.65, re.compile(r"\b([A-Z][\w.+-]*(?:[ \t][A-Z][\w.+-]*)?)\s+(?:API|SDK|CLI|plugin|extension|library|framework|database|dashboard|service|app|platform|integration)\b", re.A)),
+    ("product", 0.75, re.compile(r"\b([A-Z][\w.+-]{2,})\s+(?:v\d+|\d+\.\d+(?:\.\d+)*|\d{2,})\b", re.A)),
+    ("place", 0.75, re.compile(rf"\b(?:based\s+in|office\s+in|located\s+in|travel(?:l?ing)?\s+to|flew\s+to|moved\s+to|shipped\s+to|headquartered\s+in)\s+([A-Z][{_LETTER}]+(?:[ \t][A-Z][{_LETTER}]+)?)", re.A)),
+)
+_FULL, _INITIAL = re.compile(rf"[A-Z][{_LETTER}]+\Z"), re.compile(r"[A-Z]\.?\Z")
+_ADDRESS = [re.compile(p) for p in (r"(?s)```.*?```", r"`[^`]*`", r"(?i)\bhttps?://\S+", r"%\w+%[\\/][^\s\"']*", r"\b[A-Za-z]:\\[^\s\"']*", r"\.{0,2}[\\/][\w.-]+(?:[\\/][\w.-]+)+")]
+
+
+def known_place(name: Column) -> Column:
+    """Whether a bare name is that of a country, a city or ends like a place's name."""
+    low = F.regexp_replace(F.lower(F.trim(name)), r"^the\s+", "")
+    return low.isin(*sorted(COUNTRIES | CITIES)) | F.trim(name).rlike(PLACE_END)
+
+
+def is_place(name: str) -> bool:
+    low = re.sub(r"^the\s+", "", name.strip().lower())
+    return low in COUNTRIES or low in CITIES or bool(_PLACE_END.search(name.strip()))
+
+
+def is_person(name: str) -> bool:
+    """Two or three capitalised words or initials, at least two of them words, that don't begin or end like a heading."""
+    words = re.split(r"[ \t]+", name)
+    if not 2 <= len(words) <= 3 or re.search(r"&|\b(?:and|of|the|for|with|in|on)\b", name, re.I):
+        return False
+    if words[0].lower() in _NO_FIRST or words[-1].lower() in _NO_LAST:
+        return False
+    return all(_FULL.match(w) or _INITIAL.match(w) for w in words) and sum(bool(_FULL.match(w)) for w in words) >= 2
+
+
+def tidy_name(name: str) -> str:
+    """A name without leading articles and connectives at its end; empty for what is no name."""
+    out = name.strip()
+    while (shorter := _LEADING.sub("", out)) != out:
+        out = shorter
+    words = re.split(r"[ \t]+", out)
+    while words and words[-1] in ("of", "and", "&"):
+        words.pop()
+    out = " ".join(words)
+    return "" if not words or words[0].lower() in _NO_NAME or len(out) < 2 else out
+
+
+def name_runs(text: str | None) -> list[dict]:
+    """Named things of a text: by the phrase around them, then capitalised runs of up to four words.
+
+    Single words that begin a sentence prove nothing; a run is an organisation by its end, a place by name or end, or has
+    the shape of a person's name, else it is left out. Code, links and paths are no text. Of one name the most certain
+    reading counts, at its first place."""
     found: dict[str, dict] = {}
-    for m in _RUN.finditer(text or ""):
-        name = " ".join(m.group().split())
-        words = name.split()
-        before = text[: m.start()].rstrip()
-        if len(words) == 1 and (not before or before[-1] in ".!?:\n" or text[: m.start()].endswith("\n")):
+    body = text or ""
+    for pattern in _ADDRESS:
+        body = pattern.sub(" ", body)
+
+    def keep(name: str, kind: str, sure: float, at: int) -> None:
+        old = found.get(T.py_fold(name))
+        if old is None or sure > old["confidence"]:
+            found[T.py_fold(name)] = {"text": name, "type": kind, "confidence": sure, "offset": min(at, old["offset"]) if old else at}
+
+    for kind, sure, pattern in _CUED:
+        for m in pattern.finditer(body):
+            if name := tidy_name(next((g for g in m.groups() if g), "")):
+                keep(name, kind, sure, m.start())
+    for m in _RUN.finditer(body):
+        if not (name := tidy_name(m[1])):
+            continue
+        before = body[max(0, m.start() - 12) : m.start()]
+        if " " not in name and (m.start() == 0 or re.search(r"(?:^|[.!?:;]|\n)\s*$", before)):
             continue
-        kind = "organisation" if _ORGANISATION.search(name) else "place" if _PLACE.search(words[-1]) and len(words) == 1 else "person" if len(words) in (2, 3) else "other"
-        confidence = 0.65 if len(words) > 1 else 0.35
-        old = found.get(name.lower())
-        if old is None or confidence > old["confidence"]:
-            found[name.lower()] = {"text": name, "type": kind, "confidence": confidence, "offset": old["offset"] if old else m.start()}
-    return list(found.values())
+        kind = "organisation" if _ORGANISATION.search(name) else "place" if is_place(name) else "name" if is_person(name) else None
+        if kind:
+            keep(name, kind, 0.65 if " " in name else 0.35, m.start())
+    return sorted(found.values(), key=lambda s: s["offset"])
 
 
 def extract_names(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text, type, confidence, offset) of the names in texts."""
+    """(key, text, type, confidence, offset) of the named things in texts."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

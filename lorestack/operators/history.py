@@ -86,3 +86,16 @@ def feed_state(streams: dict[str, DataFrame], cursors: dict[str, tuple[str, str
     last = {r.stream: (str(r.m.ingested_at), r.m.id) for r in page.groupBy("stream").agg(F.max(F.struct("ingested_at", "id")).alias("m")).collect()}
     cursors = {name: last.get(name, cursors[name]) for name in streams}
     return {name: (cursors[name], after(df, cursors[name]).isEmpty()) for name, df in streams.items()}
+
+
+def without_echo(outgoing: DataFrame, told: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Outgoing rows without those that the peer itself has told of, compared on all `keys` (peer, id, version, and the
+    content's hash where both sides have it)."""
+    return outgoing.join(told.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def safe_cursor(state: dict[str, tuple[tuple[str, str | None], bool]]) -> str | None:
+    """The instant up to which every stream is complete: the least of the last instants of those that were cut short;
+    None where all are complete."""
+    cut_short = [cursor[0] for cursor, complete in state.values() if not complete]
+    return min(cut_short) if cut_short else None

@@ -40,7 +40,7 @@ class VersionedTarget:
     """A table in a shared folder that grows by atomically published versions.
 
     data/<uuid>/ holds the rows of one run; versions/<n>.json lists the folders that make up version n and is created
-    exclusively, in one step. Folders that no version lists (of broken runs) are never read.
+    exclusively. Folders that no version lists (of broken runs) are never read.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -57,18 +57,24 @@ class VersionedTarget:
         if not self._fs.exists(folder):
             return 0
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
+        for n in sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True):
+            if self.content(n) is not None:
+                return n
+        return 0
 
-    def folders(self, version: int | None = None) -> list[str]:
-        version = self.version() if version is None else version
-        if not version:
-            return []
+    def content(self, version: int) -> list[str] | None:
+        """The folders of a version; None if its file was not written to its end."""
         stream = self._fs.open(self._at("versions", f"{version}.json"))
         try:
-            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["folders"]
+        except ValueError:
+            return None
         finally:
             stream.close()
-        return json.loads(text)["folders"]
+
+    def folders(self, version: int | None = None) -> list[str]:
+        version = self.version() if version is None else version
+        return self.content(version) or [] if version else []
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """The rows of a version (default: the latest); None before the first."""
@@ -96,17 +102,42 @@ class VersionedTarget:
         return self.publish([*self.folders(before), folder], before + 1)
 
     def publish(self, folders: list[str], version: int) -> int:
-        """Makes `folders` the content of `version`, in one step or not at all."""
-        self._fs.mkdirs(self._at("versions"))
-        draft, final = self._at("versions", f".{uuid.uuid4().hex}.tmp"), self._at("versions", f"{version}.json")
-        stream = self._fs.create(draft, False)
+        """Makes `folders` the content of `version`, in one step or not at all.
+
+        The version file is created exclusively under its final name, with its whole content in the one write that ends in
+        close(); of two publishers the file system lets one through. (Renaming over a draft would not do: local file
+        systems replace the target, and object stores copy.) A publisher that dies before close() leaves an unreadable
+        file, which counts as no version and is put aside by the next one."""
+        folder = self._at("versions")
+        self._fs.mkdirs(folder)
+        final = self._at("versions", f"{version}.json")
+        if self._fs.exists(final) and self.content(version) is None and self._stale(final):
+            self._fs.rename(final, self._at("versions", f".{version}.{uuid.uuid4().hex}.broken"))
+        try:
+            stream = self._fs.create(final, False)
+        except Exception as e:  # noqa: BLE001
+            if "AlreadyExists" in str(e) or "already exists" in str(e):
+                raise ConcurrentPublish(f"version {version} of {self.path} is already there") from e
+            raise
         stream.write(bytearray(json.dumps({"version": version, "folders": folders}).encode()))
         stream.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            self._fs.delete(draft, False)
-            raise ConcurrentPublish(f"version {version} of {self.path} is already there")
         return version
 
+    def _stale(self, path, seconds: int = 600) -> bool:
+        return self._jvm.java.lang.System.currentTimeMillis() - self._fs.getFileStatus(path).getModificationTime() > seconds * 1000
+
+    def compact(self, keys: Sequence[str], version: str) -> int:
+        """Publishes the latest row of each key as one folder: reading then lists one folder instead of all of the past.
+        Older versions stay readable, as their folders do."""
+        before = self.version()
+        rows = self.read(before)
+        if rows is None or len(self.folders(before)) < 2:
+            return before
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), version).alias("_r")).select("_r.*")
+        folder = uuid.uuid4().hex
+        newest.write.parquet(f"{self.path}/data/{folder}")
+        return self.publish([folder], before + 1)
+
 
 def due_objects(objects: DataFrame, peers: DataFrame, receipts: DataFrame) -> DataFrame:
     """(peer_id, object_id, head_version) of the objects that a peer's next pull must bring.

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorestack.functions import text as T
 from lorestack.session import cut
 
 #: Vectors of a block, and rows that the centroids are fitted on at most.
@@ -25,12 +28,39 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def blocks(df: DataFrame, key: str, vector: str, size: int = BLOCK) -> DataFrame:
-    """(block, keys, vectors): blocks of about `size` rows by a hash of the key; null and empty vectors are left out."""
-    rows = df.filter(F.size(F.coalesce(F.col(vector), F.array())) > 0).select(F.col(key).alias("k"), F.col(vector).alias("v"))
+def blocks(df: DataFrame, key: str, vector: str, size: int = BLOCK, group: str | None = None) -> DataFrame:
+    """(block, keys, vectors, groups): blocks of about `size` rows by a hash of the key; null and empty vectors are left out."""
+    label = F.lit(None).cast("string") if group is None else F.col(group).cast("string")
+    rows = df.filter(F.size(F.coalesce(F.col(vector), F.array())) > 0).select(F.col(key).alias("k"), F.col(vector).alias("v"), label.alias("g"))
     n = max(1, math.ceil(rows.count() / size))
-    grouped = rows.groupBy(F.pmod(F.xxhash64("k"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("k", "v")).alias("r"))
-    return grouped.select("block", F.col("r.k").alias("keys"), F.col("r.v").alias("vectors"))
+    grouped = rows.groupBy(F.pmod(F.xxhash64("k"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("k", "v", "g")).alias("r"))
+    return grouped.select("block", F.col("r.k").alias("keys"), F.col("r.v").alias("vectors"), F.col("r.g").alias("groups"))
+
+
+def _vectors(column: pa.ListArray) -> list[np.ndarray]:
+    """Vectors of a list column, without a Python object for each number."""
+    flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[offsets[i] : offsets[i + 1]] for i in range(len(column))]
+
+
+def _products(batch: pa.RecordBatch) -> Iterator[tuple[list, list, np.ndarray, list | None]]:
+    """(query keys, row keys, similarities, groups) of each pair of blocks and length of vectors, rounded to 6 places."""
+    for i in range(batch.num_rows):
+        one = batch.slice(i, 1)
+        rk, qk, groups = (one.column(c)[0].as_py() for c in ("rk", "qk", "rg"))
+        rv, qv = (_vectors(one.column(c)[0].values) for c in ("rv", "qv"))
+        for size in {len(v) for v in qv}:
+            a, b = [j for j, v in enumerate(qv) if len(v) == size], [j for j, v in enumerate(rv) if len(v) == size]
+            if b:
+                s = np.round(unit(np.array([qv[j] for j in a], dtype=float)) @ unit(np.array([rv[j] for j in b], dtype=float)).T, 6)
+                yield [qk[j] for j in a], [rk[j] for j in b], s, None if groups is None else [groups[j] for j in b]
+
+
+def _pairs_of_blocks(queries: DataFrame, rows: DataFrame, key: str, vector: str, group: str | None = None) -> DataFrame:
+    q = blocks(queries, key, vector).drop("groups").toDF("qb", "qk", "qv")
+    r = blocks(rows, key, vector, group=group).toDF("rb", "rk", "rv", "rg")
+    # the stated query set against all rows: one row per pair of blocks, spread over the cluster
+    return r.join(q).repartition(F.col("rb"), F.col("qb")).select("rk", "rv", "rg", "qk", "qv")
 
 
 def exact_search(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 10, least: float = 0.05) -> DataFrame:
@@ -40,34 +70,87 @@ def exact_search(queries: DataFrame, rows: DataFrame, key: str, vector: str, k:
     query, so tasks are bounded and nothing grows with rows x queries. Vectors of another length than the query's and
     zero vectors are no neighbours. Ranked by similarity rounded to 6 places, then key."""
     kind = rows.schema[key].dataType.simpleString()
-    q, r = blocks(queries, key, vector).toDF("qb", "qk", "qv"), blocks(rows, key, vector).toDF("rb", "rk", "rv")
-    # the stated query set against all rows: one row per pair of blocks, spread over the cluster
-    pairs = r.join(q).repartition(F.col("rb"), F.col("qb"))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for i in range(batch.num_rows):
-                rk, rv, qk, qv = (batch.column(c)[i].as_py() for c in ("rk", "rv", "qk", "qv"))
-                for size in {len(v) for v in qv}:
-                    a = [j for j, v in enumerate(qv) if len(v) == size]
-                    b = [j for j, v in enumerate(rv) if len(v) == size]
-                    if not b:
-                        continue
-                    s = unit(np.array([qv[j] for j in a], dtype=float)) @ unit(np.array([rv[j] for j in b], dtype=float)).T
-                    for row, j in zip(s, a):
-                        top = np.argsort(-np.round(row, 6), kind="stable")
-                        edge = np.round(row[top[min(k, len(top) - 1)]], 6)
-                        out.extend((qk[j], rk[b[t]], float(np.round(row[t], 6))) for t in top if np.round(row[t], 6) >= max(edge, least) and rk[b[t]] != qk[j])
+            for qk, rk, s, _ in _products(batch):
+                most = min(k + 1, s.shape[1])  # the query itself may be among them
+                edges = np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most]
+                at, to = np.nonzero(s >= np.maximum(edges, least)[:, None])
+                out.extend((qk[i], rk[j], float(s[i, j])) for i, j in zip(at.tolist(), to.tolist()) if qk[i] != rk[j])
             columns = list(zip(*out)) if out else [[], [], []]
             kinds = [batch.schema.field("qk").type.value_type, batch.schema.field("rk").type.value_type, pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["query_id", "key", "similarity"])
 
-    near = pairs.select("rk", "rv", "qk", "qv").mapInArrow(multiply, f"query_id {kind}, key {kind}, similarity double")
+    near = _pairs_of_blocks(queries, rows, key, vector).mapInArrow(multiply, f"query_id {kind}, key {kind}, similarity double")
     own = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key")
     return near.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
 
 
+def best_per_group(queries: DataFrame, rows: DataFrame, key: str, vector: str, group: str) -> DataFrame:
+    """(query_id, group, similarity): for each query the best similarity of each group of rows (an object's chunks, a
+    label), itself left out. Reduced within each product of blocks, so a query gives at most one row per block and group."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best: dict[tuple, float] = {}
+            for qk, rk, s, groups in _products(batch):
+                place = {x: i for i, x in enumerate(rk)}
+                names = sorted(set(groups), key=lambda g: (g is None, g))
+                codes = np.array([names.index(g) for g in groups]) if len(names) < 64 else np.searchsorted(np.array([g or "" for g in names]), [g or "" for g in groups])
+                order = np.argsort(codes, kind="stable")
+                starts = np.searchsorted(codes[order], np.arange(len(names)))
+                for i, q in enumerate(qk):
+                    if q in place:
+                        s[i, place[q]] = -2.0
+                top = np.maximum.reduceat(s[:, order], starts, axis=1)
+                for i, q in enumerate(qk):
+                    for g, x in zip(names, top[i].tolist()):
+                        if x > max(-1.5, best.get((q, g), -2.0)):
+                            best[q, g] = x
+            keys = list(best)
+            kinds = [batch.schema.field("qk").type.value_type, pa.string(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keys], kinds[0]), pa.array([x[1] for x in keys], kinds[1]), pa.array([best[x] for x in keys], kinds[2])], ["query_id", "g", "similarity"])
+
+    found = _pairs_of_blocks(queries, rows, key, vector, group).mapInArrow(multiply, f"query_id {kind}, g string, similarity double")
+    return found.groupBy("query_id", F.col("g").cast(rows.schema[group].dataType).alias(group)).agg(F.max("similarity").alias("similarity"))
+
+
+def hashed_vectors(docs: DataFrame, key: str, text: Column, dims: int = 256) -> DataFrame:
+    """(key, vector): hashed features of a text: each content term (weight 1 + ln of its count) and its 3-grams (0.28 of
+    that) are added with the sign of a hash to a bucket; of length 1. All zero for texts without content terms."""
+    kind = docs.schema[key].dataType.simpleString()
+    known: dict[str, list[tuple[int, float]]] = {}
+
+    def place(feature: str) -> tuple[int, int]:
+        h = hashlib.sha256(feature.encode()).digest()
+        return int.from_bytes(h[:4], "big") % dims, 1 if (h[4] >> 4) % 2 == 0 else -1
+
+    def features(term: str) -> list[tuple[int, float]]:
+        if term not in known:
+            if len(known) > 200_000:
+                known.clear()
+            padded = f"#{term}#"
+            parts = [(*place("w:" + term), 1.0), *((*place("g:" + padded[i : i + 3]), 0.28) for i in range(len(padded) - 2))]
+            known[term] = [(b, sign * w) for b, sign, w in parts]
+        return known[term]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, dims))
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                for term, n in Counter(T.py_content_terms(t)).items():
+                    w = 1 + math.log(n)
+                    for b, x in features(term):
+                        out[i, b] += w * x
+            out = unit(out)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1)), dims).cast(pa.list_(pa.float64()))], ["key", "vector"])
+
+    return docs.select(F.col(key).alias("key"), text.alias("t")).mapInArrow(run, f"key {kind}, vector array<double>")
+
+
 def fit_centroids(x: np.ndarray, lists: int, rounds: int = 6) -> np.ndarray:
     """Centroids by k-means on unit vectors."""
     c = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)].copy()
@@ -93,7 +176,9 @@ class InvertedLists:
         index, held, offset = {}, [], 0
         for size, n in sorted(map(tuple, sized.groupBy("size").count().collect())):
             # chosen and ordered by a hash of the key; the first are held out
-            sample = sized.filter(F.col("size") == size).orderBy(F.xxhash64("k"), "k").limit(fit_rows + HELD_ROWS).select("k", "v").collect()
+            # at least two rows to fit for every list
+            most = max(fit_rows, 2 * (lists or min(65536, round(math.sqrt(n)))))
+            sample = sized.filter(F.col("size") == size).orderBy(F.xxhash64("k"), "k").limit(most + HELD_ROWS).select("k", "v").collect()
             out = min(HELD_ROWS, len(sample) // 5)
             held += [(r.k, r.v) for r in sample[:out]]
             c = fit_centroids(unit(np.array([r.v for r in sample[out:]], dtype=float)), lists or max(1, min(65536, round(math.sqrt(n)))))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from lorestack.functions import text as T
 from lorestack.operators import capture as C
+from lorestack.operators import entities as E
 from lorestack.operators import history as H
+from lorestack.operators import mining as M
 from lorestack.operators import retrieval as R
 from lorestack.operators.search import browse, parse_query
 from lorestack.plans import duck
@@ -46,17 +48,16 @@ def index_changes(spark, folder):
     return delta.groupBy("change").agg(F.count("*").alias("n"))
 
 
-_GRAM = f"[w[i] || ' ' || w[i + 1] for i in range(1, len(w))]"
-
-
 @query(
-    f"""WITH {HEAD}, w AS (SELECT id, workspace_id, {duck.words("concat_ws(' ', title, body)")} AS w FROM head), g AS (SELECT id, workspace_id, unnest({_GRAM}) AS name FROM w WHERE len(w) > 1),
-n AS (SELECT id AS entity_id, workspace_id, array_to_string({duck.words('title')}, ' ') AS name FROM head WHERE lower(trim(kind)) = 'entity')
-SELECT id, entity_id, count(*) AS n FROM g JOIN n USING (workspace_id, name) WHERE id <> entity_id GROUP BY 1, 2"""
+    f"""WITH {HEAD}, w AS (SELECT id, workspace_id, ' ' || array_to_string({duck.words("concat_ws(' ', title, body)")}, '  ') || ' ' AS w FROM head),
+n AS (SELECT DISTINCT id AS entity_id, workspace_id, ' ' || array_to_string({duck.words('title')}, '  ') || ' ' AS name FROM head WHERE lower(trim(kind)) = 'entity' AND len({duck.words('title')}) > 0)
+SELECT id, entity_id, CAST((length(w) - length(replace(w, name, ''))) / length(name) AS BIGINT) AS n FROM w JOIN n USING (workspace_id) WHERE id <> entity_id AND contains(w, name)"""
 )
 def entity_mention_links(spark, folder):
-    rows = current_rows(ko(spark, folder), "workspace_id", "kind", "title", "body")
-    return C.mentions(rows.withColumn("text", F.concat_ws(" ", "title", "body")), rows.filter(kind_key() == "entity").drop("kind", "body"))
+    """Which objects name which entities of their workspace, by titles and aliases of any number of words."""
+    rows = current_rows(ko(spark, folder), "workspace_id", "kind", "title", "body", "attrs")
+    entities = rows.filter(kind_key() == "entity").select("id", "workspace_id", "title", F.from_json(F.get_json_object("attrs", "$.aliases"), "array<string>").alias("aliases"))
+    return E.mentions(rows.select("id", "workspace_id", F.concat_ws(" ", "title", "body").alias("text")), entities)
 
 
 @query(
@@ -69,10 +70,10 @@ def similar_titles(spark, folder):
     return C.jaccard_join(rows, "id", "t", 0.8).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"WITH {HEAD} SELECT id, title, coalesce(occurred_at, created_at) AS moment FROM head WHERE lower(trim(kind)) IN ('note', 'decision') AND origin = 'user' AND state NOT IN ('deleted', 'archived', 'superseded') AND coalesce(occurred_at, created_at) >= TIMESTAMP '2025-03-01' AND coalesce(occurred_at, created_at) < TIMESTAMP '2025-10-01' ORDER BY moment DESC, id LIMIT 80")
+@query(f"WITH {HEAD} SELECT id, title, coalesce(occurred_at, created_at) AS moment FROM head WHERE lower(trim(kind)) IN ('note', 'decision') AND origin = 'user' AND state NOT IN ('deleted', 'archived', 'superseded') AND coalesce(occurred_at, created_at) >= TIMESTAMP '2025-03-01' AND coalesce(occurred_at, created_at) < TIMESTAMP '2025-10-31 23:59:59.9991' ORDER BY moment DESC, id LIMIT 80")
 def filter_browse(spark, folder):
     """A query of filters alone, from text to plan."""
-    intent = parse_query("kind:note,decision origin:user after:2025-03 before:2025-10", NOW)
+    intent = parse_query("kind:note kind:decision origin:user after:2025-03 before:2025-10", NOW)
     rows = current_rows(ko(spark, folder), "kind", "origin", "epistemic", "state", "review", "attrs", "occurred_at", "created_at", "title")
     return browse(rows, intent, 80).select("id", "title", F.coalesce("occurred_at", "created_at").alias("moment"))
 
@@ -101,23 +102,28 @@ def hybrid_search(spark, folder):
     return fused.join(rows.select("id", "updated_at", "review"), "id").select("id", T.round_half(F.col("score") * R.recency(F.col("updated_at"), NOW) * review).alias("score"))
 
 
-_STOP = ", ".join(f"'{s}'" for s in T.STOPWORDS)
+# Fixed values, written out apart from those of the engine: words that don't begin or end a concept.
+_NOISE = (
+    "done get got make made use used using go going went really quite still only even never always often rather simply merely good bad big small cannot cant wont ought need needs want wants name names user users "
+    "thing things way ways part case cases kind kinds type types item items goes run runs clone add adds set sets put puts take takes give gives keep keeps call calls see sees says say let lets true false null none"
+).split()
+_EDGE = ", ".join(f"'{w}'" for w in [*duck.STOPWORDS, *_NOISE])
+_PROSE = "coalesce(title, '') || '. ' || coalesce(body, '')"
+for _p in (r"(?m)^\s*\|.*\|\s*$", r"(?s)```.*?```", r"`[^`]*`", r"(?i)\bhttps?://\S+", r"\b[\w.-]+@[\w.-]+\.\w+", r"\b[\w.-]*\/[\w./-]+", r"(?i)\b[\w-]+\.(js|ts|md|json|sh|py|c|h|html|yml|yaml|toml)\b"):
+    _PROSE = f"regexp_replace({_PROSE}, '{_p}', ' ', 'g')"
 
 
 @query(
-    f"""WITH w AS (SELECT doc_id, {duck.words('text')} AS w FROM documents), two AS (SELECT phrase, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest({_GRAM}) AS phrase FROM w) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 20),
-three AS (SELECT phrase, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS phrase FROM w) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 20)
-SELECT phrase, n FROM two WHERE NOT EXISTS (SELECT 1 FROM three t WHERE t.n >= two.n AND contains(' ' || t.phrase || ' ', ' ' || two.phrase || ' '))"""
+    f"""WITH {HEAD}, d AS (SELECT id, workspace_id, {duck.tokens(_PROSE)} AS w FROM head WHERE state = 'active' AND lower(trim(kind)) <> 'entity' AND review IS DISTINCT FROM 'rejected'), tot AS (SELECT workspace_id, count(*) AS total FROM d GROUP BY 1),
+g AS (SELECT id, workspace_id, unnest(list_concat([w[i : i + 1] for i in range(1, len(w))], [w[i : i + 2] for i in range(1, len(w) - 1)])) AS x FROM d),
+ok AS (SELECT id, workspace_id, array_to_string(x, ' ') AS phrase FROM g WHERE len(x) >= 2 AND len([t for t in x if length(t) < 3 OR regexp_matches(t, '[-._/]|[0-9]')]) = 0 AND x[1] NOT IN ({_EDGE}) AND x[-1] NOT IN ({_EDGE})),
+c AS (SELECT workspace_id, phrase, count(DISTINCT id) AS documents, count(*) AS occurrences FROM ok GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3), taken AS (SELECT DISTINCT workspace_id, {duck.canonical('title')} AS phrase FROM head WHERE lower(trim(kind)) = 'entity'),
+f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.workspace_id = c.workspace_id AND t.phrase = c.phrase))
+SELECT workspace_id, phrase, documents, occurrences, floor(100 * (0.45e0 + 0.25e0 * (0.7e0 * least(1, documents / 8) + 0.3e0 * least(1, 3 * documents / total))) + 0.5) / 100 AS confidence FROM f JOIN tot USING (workspace_id)
+ WHERE NOT EXISTS (SELECT 1 FROM f k WHERE k.workspace_id = f.workspace_id AND length(k.phrase) > length(f.phrase) AND contains(k.phrase, f.phrase) AND k.documents >= f.documents)"""
 )
-def phrases_not_contained(spark, folder):
-    """Two-word phrases of at least twenty documents that no three-word phrase of as many documents contains."""
-    w = table(spark, folder, "documents").select("doc_id", T.words(F.col("text")).alias("w"))
-
-    def grams(k):
-        each = F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.array_join(F.slice("w", i, k), " "))
-        return w.filter(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(each)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).filter("n >= 20")
-
-    three = grams(3)
-    parts = F.split("phrase", " ")
-    inside = three.select("n", F.explode(F.array(F.concat_ws(" ", parts[0], parts[1]), F.concat_ws(" ", parts[1], parts[2]))).alias("phrase")).groupBy("phrase").agg(F.max("n").alias("most"))
-    return grams(2).join(inside, "phrase", "left").filter(F.col("most").isNull() | (F.col("most") < F.col("n"))).select("phrase", "n")
+def concept_phrases(spark, folder):
+    """Phrases of two and three words that recur in a workspace: no names of entities, nothing that a longer phrase of as
+    many objects contains."""
+    rows = current_rows(ko(spark, folder), "workspace_id", "kind", "title", "body", "state", "review", "attrs")
+    return M.concepts(rows)

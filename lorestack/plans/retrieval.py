@@ -69,7 +69,7 @@ def rank_fusion(spark, folder):
     return R.fuse({"lexical": (lexical, 1.0), "structured": (recent, 0.6)}).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-_DEG = "edge AS (SELECT DISTINCT ON (id) * FROM relation ORDER BY id, ingested_at), deg AS (SELECT id, count(*) AS degree FROM (SELECT src_id AS id FROM edge WHERE src_id IS NOT NULL AND dst_id IS NOT NULL UNION ALL SELECT dst_id FROM edge WHERE src_id IS NOT NULL AND dst_id IS NOT NULL) GROUP BY 1), ev AS (SELECT target_id AS id, count(DISTINCT id) AS evidence FROM evidence GROUP BY 1)"
+_DEG = "edge AS (SELECT * FROM (SELECT DISTINCT ON (id) * FROM relation ORDER BY id, ingested_at) WHERE state = 'active' AND src_id IS NOT NULL AND dst_id IS NOT NULL), deg AS (SELECT id, count(*) AS degree FROM (SELECT src_id AS id FROM edge UNION ALL SELECT dst_id FROM edge) GROUP BY 1), ev AS (SELECT target_id AS id, count(DISTINCT id) AS evidence FROM evidence GROUP BY 1)"
 
 
 @query(
@@ -83,7 +83,7 @@ def object_scores(spark, folder):
     """Quality, recency and salience of every object."""
     rows = current_rows(table(spark, folder, "knowledge_object"), "review", "epistemic", "origin", "confidence", "state", "updated_at", "access_count", "last_access")
     e = table(spark, folder, "evidence").groupBy("target_id", "id").agg(F.min("ingested_at")).groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("evidence"))
-    x = rows.join(G.degrees(G.edges(table(spark, folder, "relation"))), "id", "left").join(e, "id", "left")
+    x = rows.join(G.degrees(G.active(G.edges(table(spark, folder, "relation")))), "id", "left").join(e, "id", "left")
     return x.select("id", T.round_half(R.quality()).alias("quality"), T.round_half(R.recency(F.col("updated_at"), NOW)).alias("recency"), T.round_half(R.salience(NOW)).alias("salience"))
 
 
@@ -113,11 +113,9 @@ def cosine_topk(spark, folder):
 @query(f"WITH {_COS}, m AS (SELECT query_id, label, max(similarity) AS similarity FROM s GROUP BY 1, 2) SELECT query_id, label, similarity FROM (SELECT *, max(similarity) OVER (PARTITION BY query_id) AS top FROM m) WHERE similarity >= 0.4 * top AND similarity >= 0.05")
 def best_per_label(spark, folder):
     """The best row of each label for each query, without those far below the best of all."""
-    queries, rows = vector_queries(spark, folder)
-    near = V.exact_search(queries, rows, "vec_id", "embedding", k=1 << 30).join(rows.select(F.col("vec_id").alias("key"), "label"), "key")
-    top = near.groupBy("query_id", "label").agg(F.max("similarity").alias("similarity"))
+    top = V.best_per_group(*vector_queries(spark, folder), "vec_id", "embedding", "label").filter("similarity >= 0.05")
     most = F.max("similarity").over(Window.partitionBy("query_id"))
-    return top.withColumn("most", most).filter((F.col("similarity") >= 0.4 * F.col("most")) & (F.col("similarity") >= 0.05)).drop("most")
+    return top.withColumn("most", most).filter(F.col("similarity") >= 0.4 * F.col("most")).select("query_id", "label", "similarity")
 
 
 @query()
@@ -129,21 +127,16 @@ def ivf_recall(spark, folder):
 
 
 @query(
-    f"""WITH {HEAD}, t AS (SELECT id, unnest({duck.content('title')}) AS t FROM head WHERE lower(trim(kind)) = 'decision'), w AS (SELECT id, t, 1 + ln(count(*)) AS w FROM t GROUP BY 1, 2),
-f AS (SELECT id, 'w:' || t AS f, w FROM w UNION ALL SELECT id, 'g:' || unnest([substring('#' || t || '#', i, 3) for i in range(1, length(t) + 1)]), 0.28 * w FROM w), h AS (SELECT id, w, sha256(f) AS h FROM f),
-b AS (SELECT id, CAST('0x' || left(h, 8) AS BIGINT) % 256 AS bucket, sum(w * CASE WHEN h[9] IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 1 ELSE -1 END) AS v FROM h GROUP BY 1, 2)
+    f"""WITH {HEAD}, t AS (SELECT id, unnest({duck.content("concat_ws(chr(10), title, body)")}) AS t FROM head WHERE state <> 'deleted'), w AS (SELECT id, t, 1 + ln(count(*)) AS w FROM t GROUP BY 1, 2),
+f AS (SELECT id, 'w:' || t AS f, w FROM w UNION ALL SELECT id, 'g:' || unnest([substring('#' || t || '#', i, 3) for i in range(1, length(t) + 1)]), 0.28 * w FROM w), u AS (SELECT f, sha256(f) AS h FROM (SELECT DISTINCT f FROM f)),
+b AS (SELECT id, CAST('0x' || left(h, 8) AS BIGINT) % 256 AS bucket, sum(w * CASE WHEN h[9] IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 1 ELSE -1 END) AS v FROM f JOIN u USING (f) GROUP BY 1, 2)
 SELECT id, CAST(bucket AS BIGINT) AS bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 5) AS value FROM b WHERE abs(v) > 1e-9"""
 )
 def hashed_embedding(spark, folder):
-    """Hashed features of titles: terms and their 3-grams, signed, to 256 buckets, of length 1."""
-    rows = current_rows(table(spark, folder, "knowledge_object"), "kind", "title").filter(kind_key() == "decision")
-    w = rows.select("id", F.explode(T.content_terms(F.col("title"))).alias("t")).groupBy("id", "t").agg((1 + F.log(F.count("*"))).alias("w"))
-    grams = F.transform(T.char_ngrams(F.col("t")), lambda g: F.struct(F.concat(F.lit("g:"), g).alias("f"), (F.col("w") * 0.28).alias("w")))
-    f = w.select("id", F.explode(F.concat(F.array(F.struct(F.concat(F.lit("w:"), "t").alias("f"), "w")), grams)).alias("x")).select("id", F.sha2("x.f", 256).alias("h"), F.col("x.w").alias("w"))
-    sign = F.when(F.substring("h", 9, 1).isin(*"02468ace"), 1).otherwise(-1)
-    b = f.groupBy("id", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(256)).alias("bucket")).agg(F.sum(F.col("w") * sign).alias("v"))
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))
-    return b.withColumn("value", F.round(F.col("v") / norm, 5)).filter(F.abs("v") > 1e-9).select("id", "bucket", "value")
+    """Vectors of all objects that aren't deleted: hashed terms of title and body and their 3-grams; filled buckets as rows."""
+    rows = current_rows(table(spark, folder, "knowledge_object"), "title", "body", "state").filter("state <> 'deleted'")
+    v = V.hashed_vectors(rows, "id", F.concat_ws("\n", "title", "body"))
+    return v.select(F.col("key").alias("id"), F.posexplode("vector").alias("bucket", "x")).filter(F.abs("x") > 1e-9).select("id", F.col("bucket").cast("long").alias("bucket"), F.round("x", 5).alias("value"))
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorestack.operators import history as H
 from lorestack.plans.base import Registry
 from lorestack.plans.duck import EDGE, EVID, HEAD, RUNS
+from lorestack.session import lookup_join
 from lorestack.sources import readers
 from lorestack.sources.tables import current_rows, kind_key, table
 
@@ -237,11 +238,18 @@ def provider_ranking(spark, folder):
     return p.select("capability", "provider", F.row_number().over(Window.partitionBy("capability").orderBy(F.desc("q"), F.asc_nulls_last("l"), "provider")).alias("rank"))
 
 
-@query(f"WITH {HEAD}, c AS (SELECT confidence, count(*) AS n FROM head GROUP BY 1) SELECT confidence, n, round(n / sum(n) OVER (), 6) AS share, CAST(sum(n) OVER (ORDER BY confidence NULLS FIRST) AS BIGINT) AS up_to FROM c")
+@query(
+    f"""WITH {HEAD}, c AS (SELECT workspace_id, confidence, count(*) AS n FROM head WHERE confidence IS NOT NULL GROUP BY 1, 2), t AS (SELECT workspace_id, CAST(sum(n) AS BIGINT) AS total, count(*) AS distinct_values, arg_max(confidence, (n, -confidence)) AS modal, max(n) AS modal_n, CAST(sum(CASE WHEN confidence >= 0.7 THEN n ELSE 0 END) AS BIGINT) AS passing FROM c GROUP BY 1)
+SELECT workspace_id, total, distinct_values, modal, round(modal_n / total, 6) AS share, total >= 10 AND modal_n / total >= 0.66 AS degenerate, passing FROM t"""
+)
 def confidence_distribution(spark, folder):
-    c = current_rows(ko(spark, folder), "confidence").groupBy("confidence").agg(F.count("*").alias("n"))
-    everything = Window.partitionBy(F.lit(1))
-    return c.select("confidence", "n", F.round(F.col("n") / F.sum("n").over(everything), 6).alias("share"), F.sum("n").over(everything.orderBy(F.asc_nulls_first("confidence"))).alias("up_to"))
+    """How confidences of a workspace spread: values, the commonest and its share, whether that says nothing, how many pass 0.7."""
+    c = current_rows(ko(spark, folder), "workspace_id", "confidence").filter("confidence is not null").groupBy("workspace_id", "confidence").agg(F.count("*").alias("n"))
+    t = c.groupBy("workspace_id").agg(
+        F.sum("n").alias("total"), F.count("*").alias("distinct_values"), F.max(F.struct("n", (-F.col("confidence")).alias("c"))).alias("m"), F.sum(F.when(F.col("confidence") >= 0.7, F.col("n")).otherwise(0)).alias("passing")
+    )
+    share = F.col("m.n") / F.col("total")
+    return t.select("workspace_id", "total", "distinct_values", (-F.col("m.c")).alias("modal"), F.round(share, 6).alias("share"), ((F.col("total") >= 10) & (share >= 0.66)).alias("degenerate"), "passing")
 
 
 @query(f"WITH {EVID} SELECT target_kind, target_id, count(*) AS n, count(*) FILTER (WHERE stance = 'contradicts') AS against, max(weight) AS most FROM evid GROUP BY 1, 2")
@@ -271,12 +279,16 @@ def sync_decisions(spark, folder):
     return H.sync_decisions(local, remote)
 
 
-@query("SELECT DISTINCT id, head_version FROM knowledge_object WHERE ingested_at > TIMESTAMP '2025-06-01' AND (id, head_version) NOT IN (SELECT object_id, version FROM sync_receipt)")
+@query(
+    """WITH o AS (SELECT DISTINCT id, workspace_id, head_version FROM knowledge_object WHERE ingested_at > TIMESTAMP '2025-06-01')
+SELECT DISTINCT p.id AS peer_id, o.id, o.head_version FROM o JOIN sync_peer p USING (workspace_id) WHERE NOT EXISTS (SELECT 1 FROM sync_receipt r WHERE r.peer_id = p.id AND r.object_id = o.id AND r.version = o.head_version AND r.status = 'committed')"""
+)
 def echo_removal(spark, folder):
-    """Versions to send without those that a peer has told of itself."""
-    out = ko(spark, folder).filter(F.col("ingested_at") > F.lit("2025-06-01").cast("timestamp_ntz")).select("id", "head_version").distinct()
-    told = table(spark, folder, "sync_receipt").select(F.col("object_id").alias("id"), F.col("version").alias("head_version"))
-    return out.join(told, ["id", "head_version"], "left_anti")
+    """Versions to send to each peer of a workspace, without those that this very peer holds."""
+    out = ko(spark, folder).filter(F.col("ingested_at") > F.lit("2025-06-01").cast("timestamp_ntz")).select("id", "workspace_id", "head_version").distinct()
+    peers = table(spark, folder, "sync_peer").select(F.col("id").alias("peer_id"), "workspace_id").distinct()
+    told = table(spark, folder, "sync_receipt").filter("status = 'committed'").select("peer_id", F.col("object_id").alias("id"), F.col("version").alias("head_version"))
+    return H.without_echo(lookup_join(out, peers, ["workspace_id"], spread=F.col("id")).select("peer_id", "id", "head_version"), told, ["peer_id", "id", "head_version"])
 
 
 @query(
@@ -293,7 +305,7 @@ def validation_errors(spark, folder):
 
 
 @query(
-    f"""WITH {HEAD}, t AS (SELECT coalesce(occurred_at, created_at) AS moment FROM head), r AS (SELECT unnest(['this_week', 'last_week', 'this_month', 'this_year', '90_days']) AS name, unnest([TIMESTAMP '2025-12-28', TIMESTAMP '2025-12-21', TIMESTAMP '2026-01-01', TIMESTAMP '2026-01-01', TIMESTAMP '2025-10-03']) AS a, unnest([TIMESTAMP '2026-01-04', TIMESTAMP '2025-12-28', TIMESTAMP '2026-02-01', TIMESTAMP '2027-01-01', TIMESTAMP '2026-01-01']) AS b)
+    f"""WITH {HEAD}, t AS (SELECT coalesce(occurred_at, created_at) AS moment FROM head), r AS (SELECT unnest(['this_week', 'last_week', 'this_month', 'this_year', '90_days']) AS name, unnest([TIMESTAMP '2025-12-28', TIMESTAMP '2025-12-21', TIMESTAMP '2026-01-01', TIMESTAMP '2026-01-01', TIMESTAMP '2025-10-03']) AS a, unnest([TIMESTAMP '2026-01-02', TIMESTAMP '2025-12-28', TIMESTAMP '2026-01-02', TIMESTAMP '2026-01-02', TIMESTAMP '2026-01-02']) AS b)
 SELECT name, count(moment) AS n FROM r LEFT JOIN t ON moment >= a AND moment < b GROUP BY 1"""
 )
 def range_counts(spark, folder):
@@ -302,9 +314,9 @@ def range_counts(spark, folder):
 
     rows = current_rows(ko(spark, folder), "occurred_at", "created_at").select(F.coalesce("occurred_at", "created_at").alias("at"))
     counts = []
-    for name, phrase in (("this_week", "this week"), ("last_week", "last week"), ("this_month", "this month"), ("this_year", "this year"), ("90_days", "last 90 days")):
+    for name, phrase in (("this_week", "this week"), ("last_week", "last week"), ("this_month", "this month"), ("this_year", "this year"), ("90_days", "90 days ago")):
         a, b = resolve_range(phrase, NOW)
-        counts.append((name, F.sum(F.when((F.col("at") >= F.lit(a).cast("timestamp_ntz")) & (F.col("at") < F.lit(b).cast("timestamp_ntz")), 1).otherwise(0))))
+        counts.append((name, F.sum(F.when((F.col("at") >= F.lit(a).cast("timestamp_ntz")) & (F.col("at") <= F.lit(b).cast("timestamp_ntz")), 1).otherwise(0))))
     wide = rows.agg(*[F.coalesce(c, F.lit(0)).alias(n) for n, c in counts])
     return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n, _ in counts])).alias("r")).select("r.name", "r.n")
 

@@ -53,11 +53,7 @@ def title_ngrams(spark, folder):
     return terms.select(F.explode(T.char_ngrams(F.col("t"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-@query(
-    rf"""SELECT doc_id, len([s for s in [regexp_replace(p, '^\s+|\s+$', '', 'g') for p in string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
- '\b(Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|vs|etc|e\.g|i\.e|cf|No|Fig|Inc|Ltd|Co)\.', '\1' || chr(1), 'g'), '\b([A-Z])\.(\s)', '\1' || chr(1) || '\2', 'g'),
- '([.!?]["'')\]]*)\s+([\p{{Lu}}\p{{N}}"''(\[])', '\1' || chr(2) || '\2', 'g'), '\n\s*\n', chr(2), 'g'), chr(2))] if length(s) > 0]) AS sentences FROM documents"""
-)
+@query(f"SELECT doc_id, len({duck.sentences('text')}) AS sentences FROM documents")
 def sentence_counts(spark, folder):
     return docs(spark, folder).select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("sentences"))
 
@@ -74,66 +70,50 @@ def superseded_similarity(spark, folder):
 
 
 @query(
-    f"""WITH {duck.HEAD}, n AS (SELECT id, workspace_id, {duck.canonical('title')} AS c FROM head WHERE lower(trim(kind)) = 'entity'),
-p AS (SELECT a.id AS id_a, b.id AS id_b, a.c AS a, b.c AS b FROM n a JOIN n b ON a.workspace_id = b.workspace_id AND a.id < b.id AND (string_split(a.c, ' ')[-1] = string_split(b.c, ' ')[-1] OR string_split(a.c, ' ')[1] = string_split(b.c, ' ')[1])),
+    f"""WITH {duck.HEAD}, n AS (SELECT id, workspace_id, json_extract_string(attrs, '$.entityType') AS t, {duck.canonical('title')} AS c FROM head WHERE lower(trim(kind)) = 'entity' AND state = 'active'),
+p AS (SELECT a.id AS id_a, b.id AS id_b, a.c AS a, b.c AS b, levenshtein(a.c, b.c) AS e FROM n a JOIN n b ON a.workspace_id = b.workspace_id AND a.id < b.id AND a.t IS NOT DISTINCT FROM b.t),
 s AS (SELECT id_a, id_b, CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 WHEN starts_with(a, b || ' ') OR starts_with(b, a || ' ') THEN 0.8
  WHEN a LIKE '% %' AND b LIKE '% %' AND string_split(a, ' ')[-1] = string_split(b, ' ')[-1] AND a[1] = b[1] THEN CASE WHEN length(string_split(a, ' ')[1]) = 1 OR length(string_split(b, ' ')[1]) = 1 THEN 0.85 ELSE 0.72 END
- WHEN levenshtein(a, b) <= 2 AND 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.85 THEN (1 - levenshtein(a, b) / greatest(length(a), length(b))) * 0.9 ELSE 0.0 END AS score FROM p)
+ WHEN e <= 2 AND 1 - e / greatest(length(a), length(b)) >= 0.85 THEN (1 - e / greatest(length(a), length(b))) * 0.9 ELSE 0.0 END AS score FROM p)
 SELECT id_a, id_b, round(score, 6) AS score FROM s WHERE score >= 0.7"""
 )
 def name_duplicates(spark, folder):
-    """Entity pairs of a workspace with alike names, blocked by first and last word."""
-    from lorestack.operators.blocks import block_pairs
+    """Pairs of active entities of a workspace and type with alike names; the SQL compares all pairs."""
+    from lorestack.operators.entities import duplicate_candidates
 
-    rows = current_rows(table(spark, folder, "knowledge_object"), "workspace_id", "kind", "title").filter(kind_key() == "entity")
-    names = rows.select("id", "workspace_id", T.canonicalise(F.col("title")).alias("c"))
-    parts = F.split("c", " ")
-    blocks = F.explode(F.array(F.concat(F.lit("f"), F.element_at(parts, 1)), F.concat(F.lit("l"), F.element_at(parts, -1))))
-    pairs = block_pairs(names.withColumn("block", blocks), ["workspace_id", "block"], "id", ["c"])
-    scored = pairs.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.round(T.compare_names(F.col("c_a"), F.col("c_b")), 6).alias("score"))
-    return scored.filter("score >= 0.7")
+    rows = current_rows(table(spark, folder, "knowledge_object"), "workspace_id", "kind", "title", "attrs", "state").filter((kind_key() == "entity") & (F.col("state") == "active"))
+    found = duplicate_candidates(rows.withColumn("entity_type", F.get_json_object("attrs", "$.entityType")))
+    return found.select("id_a", "id_b", F.round("score", 6).alias("score"))
 
 
-@query(
-    rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, count(*) AS lines, CAST(sum(CASE WHEN len(regexp_extract_all(line, '\|')) >= 3 OR len(regexp_extract_all(line, '[A-Za-z_]\w* ?= ?\S')) >= 2 OR regexp_matches(line, '^\s*(//|/\*|#!|<!--)') OR regexp_matches(line, '^\s*[-=_*]{{4,}}\s*$')
- OR length(regexp_replace(line, '[\p{{L}}\p{{N}}\s]', '', 'g')) > length(regexp_replace(line, '[^\p{{L}}]', '', 'g')) * 0.35 THEN 1 ELSE 0 END) AS BIGINT) AS structured FROM l GROUP BY 1"""
-)
+@query(f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE {duck.structured('line')}) AS structured FROM l GROUP BY 1")
 def structured_lines(spark, folder):
     lines = docs(spark, folder).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(T.looks_structured(F.col("line")).cast("int")).alias("structured"))
 
 
 @query(
-    """WITH d AS (SELECT doc_id, text, strpos(lower(text), 'archive') AS m FROM documents), s AS (SELECT *, greatest(1, m - 80) AS b FROM d WHERE m > 0)
-SELECT doc_id, (CASE WHEN b > 1 THEN '…' ELSE '' END) || substring(text, b, 240) || (CASE WHEN b + 239 < length(text) THEN '…' ELSE '' END) AS excerpt FROM s"""
+    f"""WITH d AS (SELECT doc_id, text, list_min([p for p in [strpos({duck.fold('text')}, 'archive'), strpos({duck.fold('text')}, 'harbour')] if p > 0]) AS m FROM documents), s AS (SELECT *, greatest(1, m - 80) AS b FROM d)
+SELECT doc_id, coalesce(CASE WHEN m IS NULL THEN substring(text, 1, 240) || (CASE WHEN length(text) > 240 THEN '…' ELSE '' END) ELSE (CASE WHEN b > 1 THEN '…' ELSE '' END) || regexp_replace(substring(text, b, 240), '^[\\s\\x{{00A0}}\\x{{3000}}]+|[\\s\\x{{00A0}}\\x{{3000}}]+$', '', 'g') || (CASE WHEN b + 239 < length(text) THEN '…' ELSE '' END) END, '') AS excerpt FROM s"""
 )
 def excerpts(spark, folder):
-    """Windows around the first match of a term."""
-    return docs(spark, folder).filter(F.locate("archive", F.lower("text")) > 0).select("doc_id", T.excerpt(F.col("text"), "archive").alias("excerpt"))
+    """A window of every document around the first match of a question's terms."""
+    return docs(spark, folder).select("doc_id", T.excerpt(F.col("text"), ["archive", "harbour"]).alias("excerpt"))
 
 
 @query(
     f"""WITH t AS (SELECT doc_id, unnest({duck.content('text')}) AS term, generate_subscripts({duck.content('text')}, 1) AS pos FROM documents),
 total AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY 1), tf AS (SELECT doc_id, term, count(*) AS tf, min(pos) - 1 AS p FROM t GROUP BY 1, 2),
 len AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
-s AS (SELECT doc_id, term, round((tf / len.n) * (ln((total.n + 1) / (df + 1)) + 1) * least(1.15, 1 + 0.02 * (length(term) - 4)) * (1.3 - 0.4 * least((p / len.n) / 0.4, 1)), 6) AS score FROM tf JOIN df USING (term) JOIN len USING (doc_id), total)
+s AS (SELECT doc_id, term, floor(1e4 * (tf / len.n) * (ln((total.n + 1) / (df + 1)) + 1) * least(1.15, 1 + 0.02 * (length(term) - 4)) * (1.3 - 0.4 * least((p / len.n) / 0.4, 1)) + 0.5) / 1e4 AS score FROM tf JOIN df USING (term) JOIN len USING (doc_id), total)
 SELECT doc_id, term, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 10"""
 )
 def tfidf_keywords(spark, folder):
     """Ten keywords of each document: frequency, rarity, length and first position."""
-    from pyspark.sql import Window
+    from lorestack.operators import extract as X
 
     d = docs(spark, folder)
-    t = d.select("doc_id", T.content_terms(F.col("text")).alias("c")).select("doc_id", F.size("c").alias("len"), F.posexplode("c").alias("pos", "term"))
-    tf = t.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.min("pos").alias("p"), F.first("len").alias("len"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    total = d.count()
-    share = F.col("p") / F.col("len")
-    score = (F.col("tf") / F.col("len")) * (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1) * F.least(F.lit(1.15), 1 + (F.length("term") - 4) * F.lit(0.02)) * (1.3 - 0.4 * F.least(share / 0.4, F.lit(1.0)))
-    ranked = tf.join(df, "term").withColumn("score", F.round(score, 6))
-    own = Window.partitionBy("doc_id").orderBy(F.desc("score"), "term")
-    return ranked.withColumn("rank", F.row_number().over(own)).filter("rank <= 10").select("doc_id", "term", "score", "rank")
+    return X.keywords(d, "doc_id", F.col("text"), X.unit_frequency(d, "text"), d.count()).withColumnRenamed("key", "doc_id")
 
 
 @query(
@@ -155,25 +135,6 @@ def pattern_entities(spark, folder):
     return rows.groupBy("doc_id", "type", "value").agg(F.count("*").alias("n"))
 
 
-@query(
-    f"""WITH w AS (SELECT doc_id, {duck.words('text')} AS x FROM documents), g AS (SELECT doc_id, unnest([x[i] || ' ' || x[i + 1] for i in range(1, len(x))]) AS phrase FROM w),
-ok AS (SELECT * FROM g WHERE regexp_full_match(phrase, '[a-z]{{3,}} [a-z]{{3,}}') AND string_split(phrase, ' ')[1] NOT IN ({", ".join(f"'{s}'" for s in T.STOPWORDS)}) AND string_split(phrase, ' ')[2] NOT IN ({", ".join(f"'{s}'" for s in T.STOPWORDS)}))
-SELECT phrase, count(DISTINCT doc_id) AS documents, count(*) AS occurrences, round(0.45 + 0.25 * (0.7 * least(1, count(DISTINCT doc_id) / 8) + 0.3 * least(1, 3 * count(DISTINCT doc_id) / (SELECT count(*) FROM documents))), 6) AS confidence FROM ok GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3"""
-)
-def concept_phrases(spark, folder):
-    """Two-word phrases that recur in at least three documents, with a confidence by how widely they are used."""
-    d = docs(spark, folder)
-    x = T.words(F.col("text"))
-    grams = F.when(F.size("x") > 1, F.transform(F.sequence(F.lit(1), F.size("x") - 1), lambda i: F.concat_ws(" ", F.element_at("x", i), F.element_at("x", i + 1))))
-    g = d.select("doc_id", x.alias("x")).select("doc_id", F.explode(grams).alias("phrase"))
-    parts = F.split("phrase", " ")
-    g = g.filter(F.col("phrase").rlike("^[a-z]{3,} [a-z]{3,}$") & ~parts[0].isin(T.STOPWORDS) & ~parts[1].isin(T.STOPWORDS))
-    per = g.groupBy("phrase", "doc_id").agg(F.count("*").alias("n")).groupBy("phrase").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences")).filter("documents >= 3")
-    total = d.count()
-    n = F.col("documents")
-    return per.withColumn("confidence", F.round(0.45 + 0.25 * (0.7 * F.least(F.lit(1.0), n / 8) + 0.3 * F.least(F.lit(1.0), n * 3 / F.lit(total))), 6))
-
-
 @query(
     r"""WITH h AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT doc_id, length(regexp_extract(line, '^(#{1,6})\s+(\S.*)$', 1)) AS level, trim(regexp_extract(line, '^(#{1,6})\s+(\S.*)$', 2), ' ' || chr(13) || chr(9)) AS heading, count(*) AS n FROM h WHERE regexp_matches(line, '^#{1,6}\s+\S') GROUP BY 1, 2, 3"""

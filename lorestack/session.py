@@ -29,13 +29,18 @@ def build_session(app: str = "lorestack", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else a fresh local one (tests, local mode)."""
+    """The folder all executors share: spark.checkpoint.dir, else the checkpoint folder set on the context.
+
+    Only a session whose executors are threads of this machine (local mode) may do without: it gets a folder of its own.
+    On a cluster a missing setting is an error, as each executor would write to its own disk.
+    """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    current = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="lorestack-")
-    if current.isEmpty():
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lorestack-")
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
