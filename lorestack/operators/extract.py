@@ -121,12 +121,14 @@ def long_claims(docs: DataFrame, key: str, text: Column, piece_tokens: int = 400
         pieces = [t] if len(t) <= whole else [c for c, _, _ in chunk(t, piece_tokens, 0)]
         seen: set[str] = set()
         pos = 0
+        share = max(2, math.ceil(budget / len(pieces))) if len(pieces) > 1 else budget
         for piece in pieces:
-            for _, claim, *rest in claim_rows(piece, max(2, math.ceil(budget / len(pieces))) if len(pieces) > 1 else budget):
-                if pos < budget and (normal := normal_claim(claim)) not in seen:
+            fresh = 0
+            for _, claim, *rest in claim_rows(piece, len(piece)):
+                if pos < budget and fresh < share and (normal := normal_claim(claim)) not in seen:
                     seen.add(normal)
                     yield (pos, claim, *rest)
-                    pos += 1
+                    pos, fresh = pos + 1, fresh + 1
 
     fields = [("pos", pa.int64()), ("claim", pa.string()), ("kind", pa.string()), ("epistemic", pa.string()), ("confidence", pa.float64())]
     return per_row(docs, key, text, rows, fields)

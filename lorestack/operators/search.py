@@ -125,7 +125,8 @@ def parse_query(text: str, now: str) -> Intent:
             return m[0]
         return " "
 
-    rest = re.sub(r'(?<!:)"([^"]+)"', lambda m: out.phrases.append(m[1].strip()) or " ", text)
+    rest = re.sub(r'(\w+):("[^"]*")', take, text)
+    rest = re.sub(r'"([^"]+)"', lambda m: out.phrases.append(m[1].strip()) or " ", rest)
     rest = _FIELD.sub(take, rest)
     rest = re.sub(r"(^|\s)-([\w-]{2,})", lambda m: out.exclude.append(m[2].lower()) or " ", rest)
     if m := _RANGE.search(rest):
