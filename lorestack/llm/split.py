@@ -6,8 +6,9 @@ sentence ends in its range, cuts between the two agreed borders and emits pieces
 stitched by a prefix sum over the piece counts of the ranges. A file is read by byte ranges in the same way: no worker
 ever holds more than a range of it.
 
-Scale: items under the limit never leave the scan; the others are shuffled once, to keep one delivery of each. A giant
-item is spread over as many tasks as it has ranges. Nothing is broadcast or collected but the number of files.
+Scale: items under the limit never leave the scan; the others are shuffled once, to keep one delivery of each. Texts of
+one range are cut where they are read; longer ones are laid out in windows in one linear pass, spread over as many tasks
+as they have ranges, and cut once. Nothing is broadcast or collected but the number of files.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import bisect
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorestack.session import cut, shared_dir
 from lorestack.sources.tables import current_wide, table
 
 LIMIT, OVERLAP = 2000, 200
-#: Characters (of a file: bytes) of a text that one worker handles at once.
-RANGE = 1 << 16
+#: Characters of a text that one worker handles at once; of a file, bytes.
+RANGE, FILE_RANGE = 1 << 13, 1 << 20
 #: Characters after a border that decide whether a boundary is there.
 LOOK = 8
 
@@ -65,7 +68,7 @@ def _first(positions: list[int], low: int, high: int) -> int:
     return positions[i] if i < len(positions) and positions[i] <= high else -1
 
 
-def best_cut(text: str, at: Boundaries, low: int, middle: int, high: int) -> tuple[int, str]:
+def best_cut(text: str, at: Boundaries, low: int, middle: int, high: int, limit: int) -> tuple[int, str]:
     """The cut in (low, high]: the best level after `middle`, else the last natural end, else a blank, else the limit."""
     for name in ("paragraph", "line", "sentence"):
         if (p := _last(getattr(at, name), max(low, middle), high)) >= 0:
@@ -73,7 +76,7 @@ def best_cut(text: str, at: Boundaries, low: int, middle: int, high: int) -> tup
     earlier = {_last(getattr(at, name), low, high): name for name in ("sentence", "line", "paragraph")}
     if (p := max(earlier)) >= 0:
         return p, earlier[p]
-    if (p := _last(at.word, max(low, high - LIMIT // 8), high)) >= 0:
+    if (p := _last(at.word, max(low, high - limit // 2), high)) >= 0:
         return p, "word"
     p = high
     while p > max(low + 1, high - LOOK) and p < len(text) and (unicodedata.combining(text[p]) or text[p - 1 : p + 1] == "\r\n"):
@@ -85,7 +88,7 @@ def border(text: str, end: int, limit: int) -> tuple[int, str]:
     """The cut at or before `end` that the workers on its two sides agree on: it depends on the text near it only."""
     base = max(0, end - limit)
     near = text[base : end + LOOK]
-    cut, name = best_cut(near, boundaries(near), (end - base) // 2, (end - base) // 2, end - base)
+    cut, name = best_cut(near, boundaries(near), (end - base) // 2, (end - base) // 2, end - base, limit)
     return base + cut, name
 
 
@@ -111,7 +114,7 @@ def cut_range(text: str, first: int, last: int, is_first: bool, is_last: bool, l
             out.append((start, goal, name))
             break
         high = min(start + limit, goal - 2 * overlap)  # leaves the last piece longer than an overlap
-        cut, level = best_cut(text, at, done, start + limit // 2, high)
+        cut, level = best_cut(text, at, done, start + limit // 2, high, limit)
         out.append((start, cut, level))
         done, start = cut, overlap_start(at, start, cut, overlap)
     return out
@@ -129,44 +132,57 @@ def split_oversized(items: DataFrame, key: list[str], text: str, limit: int = LI
     """
     if not 0 < overlap * 4 < limit or size < 4 * limit:
         raise ValueError("the overlap must be under a quarter of the limit, and a range at least four limits")
-    halo = limit + overlap
-    long = items.filter(F.char_length(text) > limit).select(*key, F.col(text).alias("_text"), F.char_length(text).cast("long").alias("_n"))
-    last_range = F.floor((F.col("_n") - 1) / size)
-    ranges = long.withColumn("_range", F.explode(F.sequence(F.lit(0).cast("long"), last_range)))
-    base = F.greatest(F.lit(0).cast("long"), F.col("_range") * size - halo)
-    window = F.when(F.col("_n") <= size, F.col("_text")).otherwise(F.expr(f"substring(_text, cast(greatest(0L, _range * {size} - {halo}) + 1 as int), {size + halo + LOOK})"))
-    ranges = ranges.select(*key, "_range", "_n", base.alias("_base"), window.alias("_window"))
+    halo, width = limit + overlap, len(key)
+    long = items.filter(F.char_length(text) > limit).select(*key, F.col(text).alias("_text"))
     fields = [items.schema[k] for k in key]
-    schema = ", ".join(filter(None, [*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "_range long, _n long, _k int, start long, end long, boundary string, piece string"]))
-    width = len(key)
+    names = [*key, "_range", "_n", "_k", "start", "end", "boundary", "piece"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "_range long, _n long, _k int, start long, end long, boundary string, piece string"])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def put(batch: pa.RecordBatch, rows: list[int], out: list[tuple]) -> pa.RecordBatch:
+        take = pa.array(rows, pa.int32())
+        columns = list(zip(*out)) if out else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(width)), *(pa.array(list(c), t) for c, t in zip(columns, kinds))], names)
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces of texts of one range; of longer ones a row per range (no boundary yet) with its window and where that starts."""
+        for batch in batches:
+            rows, out = [], []
+            for i, t in enumerate(batch.column(width).to_pylist()):
+                n = len(t)
+                if n <= size:
+                    found = [(0, n, k, s, e, level, t[s:e]) for k, (s, e, level) in enumerate(cut_range(t, 0, n, True, True, limit, overlap))]
+                else:
+                    bases = ((r, max(0, r * size - halo)) for r in range((n - 1) // size + 1))
+                    found = [(r, n, 0, b, 0, None, t[b : (r + 1) * size + LOOK]) for r, b in bases]
+                rows.extend([i] * len(found))
+                out.extend(found)
+            yield put(batch, rows, out)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*key, "_range", "_n", "_k", "start", "end", "boundary", "piece"]
+        """Pieces of windows, with offsets in the whole text."""
         for batch in batches:
-            number, total, bases, windows = (batch.column(width + i).to_pylist() for i in range(4))
             rows, out = [], []
+            number, total, bases, windows = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_range", "_n", "start", "piece"))
             for i, (r, n, b, w) in enumerate(zip(number, total, bases, windows)):
-                first, last = r * size - b, min(n, (r + 1) * size) - b
-                for k, (s, e, level) in enumerate(cut_range(w, first, last, r == 0, (r + 1) * size >= n, limit, overlap)):
+                for k, (s, e, level) in enumerate(cut_range(w, r * size - b, min(n, (r + 1) * size) - b, r == 0, (r + 1) * size >= n, limit, overlap)):
                     rows.append(i)
-                    out.append((k, b + s, b + e, level, w[s:e]))
-            take = pa.array(rows, pa.int32())
-            columns = list(zip(*out)) if out else [[]] * 5
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(width + 2)], *[pa.array(list(c), t) for c, t in zip(columns, kinds)]], names)
-
-    pieces = ranges.mapInArrow(emit, schema)
-    small = pieces.filter(F.col("_n") <= size).withColumn("piece_no", F.col("_k").cast("long"))
-    # items of several ranges: numbers before a range are the prefix sum of piece counts, one row per range
-    counts = ranges.filter(F.col("_n") > size).mapInArrow(emit, schema).groupBy(*key, "_range").agg(F.count("*").alias("_c"))
+                    out.append((r, n, k, b + s, b + e, level, w[s:e]))
+            yield put(batch, rows, out)
+
+    laid = cut(long.mapInArrow(lay, schema))
+    small = laid.filter("boundary is not null").withColumn("piece_no", F.col("_k").cast("long"))
+    giant = cut(laid.filter("boundary is null").repartition(*key, "_range").mapInArrow(emit, schema))
+    # numbers before a range are the prefix sum of piece counts, one row per range
+    counts = giant.groupBy(*key, "_range").agg(F.count("*").alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select(*key, "_range", before.alias("_before"))
-    giant = ranges.filter(F.col("_n") > size).mapInArrow(emit, schema).join(offsets, [*key, "_range"]).withColumn("piece_no", F.col("_k") + F.col("_before"))
+    giant = giant.join(offsets, [*key, "_range"]).withColumn("piece_no", F.col("_k") + F.col("_before"))
     columns = [*key, "piece_no", "start", "end", "boundary", "piece"]
     return small.select(*columns).unionByName(giant.select(*columns))
 
 
-def split_files(spark: SparkSession, path: str, limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE * 16) -> DataFrame:
+def split_files(spark: SparkSession, path: str, limit: int = LIMIT, overlap: int = OVERLAP, size: int = FILE_RANGE) -> DataFrame:
     """Pieces of UTF-8 files, read by byte ranges: path, piece_no, start, end (offsets in bytes), boundary, piece.
 
     Files are listed without their content. A worker opens the file, seeks to its range and its halo and never reads
@@ -209,7 +225,7 @@ def split_files(spark: SparkSession, path: str, limit: int = LIMIT, overlap: int
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["path", "_range", "_k", "start", "end", "boundary", "piece"])
 
-    pieces = ranges.select("path", "length", "_range").mapInArrow(emit, "path string, _range long, _k int, start long, end long, boundary string, piece string")
+    pieces = cut(ranges.select("path", "length", "_range").mapInArrow(emit, "path string, _range long, _k int, start long, end long, boundary string, piece string"))
     counts = pieces.groupBy("path", "_range").agg(F.count("*").alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.partitionBy("path").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("path", "_range", before.alias("_before"))
@@ -242,6 +258,18 @@ def p3_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.groupBy("table_name", "record_id").agg(F.max("end").alias("n_chars"), F.min(fine).alias("keeps_rules"))
 
 
+def p3_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All source texts as a few big files, split by byte ranges of 64 KB: bytes covered, and whether all pieces keep the rules."""
+    path = f"{shared_dir(spark).rstrip('/')}/lorestack/{uuid.uuid4().hex}"
+    table(spark, folder, "source_item").filter("text is not null").select("text").coalesce(4).write.text(path)
+    own = Window.partitionBy("path").orderBy("piece_no")
+    pieces = split_files(spark, path, size=1 << 16).withColumn("shared", F.lag("end").over(own) - F.col("start")).withColumn("skips", F.col("piece_no") - F.coalesce(F.lag("piece_no").over(own), F.lit(-1)))
+    # overlaps of files are measured in characters: at most four bytes each
+    fine = (F.char_length("piece") <= LIMIT) & (F.octet_length("piece") == F.col("end") - F.col("start")) & (F.col("skips") == 1) & F.when(F.col("piece_no") == 0, F.col("start") == 0).otherwise(F.col("shared").between(1, 4 * OVERLAP))
+    files = pieces.groupBy("path").agg(F.max("end").alias("n"), F.min(fine).alias("fine"))
+    return files.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_bytes"), F.coalesce(F.min("fine"), F.lit(True)).alias("keeps_rules"))
+
+
 _SQL = """
 WITH head AS (SELECT DISTINCT ON (id) id, body FROM knowledge_object ORDER BY id, head_version DESC, ingested_at)
 SELECT 'knowledge_object' AS table_name, id AS record_id, length(body) AS n_chars FROM head WHERE length(body) > 2000
@@ -249,6 +277,7 @@ UNION ALL SELECT 'source_item', id, max(length(text)) FROM source_item WHERE len
 """
 SQL = {
     "p3_found": f"SELECT table_name, record_id FROM ({_SQL})",
+    "p3_files": "SELECT CAST(coalesce(sum(strlen(text) + 1), 0) AS BIGINT) AS n_bytes, true AS keeps_rules FROM source_item WHERE text IS NOT NULL",
     "p3_coverage": f"SELECT table_name, record_id, n_chars, true AS keeps_rules FROM ({_SQL})",
 }
-QUERIES = {"p3_found": p3_found, "p3_passages": p3_passages, "p3_coverage": p3_coverage}
+QUERIES = {"p3_found": p3_found, "p3_passages": p3_passages, "p3_coverage": p3_coverage, "p3_files": p3_files}

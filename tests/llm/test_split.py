@@ -60,3 +60,10 @@ def test_files_are_cut_by_byte_ranges(spark, tmp_path):
         shared = len(raw[q.start : p.end].decode())
         assert 1 <= shared <= 50
     assert [r.piece for r in rows if r.path.endswith("b.txt")] == ["short"]
+
+
+def test_words_are_kept_whole_at_any_limit(spark):
+    text = "x" * 18000 + " " + "y" * 15000
+    pieces = split_oversized(spark.createDataFrame([(1, text)], "id int, body string"), ["id"], "body", 20000, 200, 80000).orderBy("piece_no").collect()
+    check(text, pieces, 20000, 200)
+    assert pieces[0].end == 18001 and pieces[0].boundary == "word"
