@@ -30,10 +30,10 @@ def hot_blocks(rows: DataFrame, block: Sequence[str], member: str, hot: int = HO
     return cut(some.groupBy(*block).agg((F.count("*") * sample).alias("_est")).filter(F.col("_est") >= hot))
 
 
-def block_pairs(members: DataFrame, block: Sequence[str], member: str, carry: Sequence[str] = (), cell: int = 512, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
+def block_pairs(members: DataFrame, block: Sequence[str], member: str, carry: Sequence[str] = (), cell: int = 512, hot: int = HOT, sample: int = SAMPLE, pairs_per_block: bool = False) -> DataFrame:
     """(a, b, then carry columns as <name>_a and <name>_b): pairs a < b of different members of any common block.
 
-    Each pair comes once, however many blocks it shares. Rows with a null block column or member give no pairs; a member
+    Each pair comes once, however many blocks it shares; with `pairs_per_block` once for each of them. Rows with a null block column or member give no pairs; a member
     repeated in a block counts once in the result. Singletons are dropped right after the one shuffle by block, and
     what is left is written once and read by both sides. `members` is read twice: what is dear to make should be cut.
     """
@@ -52,4 +52,5 @@ def block_pairs(members: DataFrame, block: Sequence[str], member: str, carry: Se
     left = laid.withColumn("_j", every).select(*block, F.col("_own").alias("_i"), "_j", F.col("_m").alias("a"), *[F.col(c).alias(f"{c}_a") for c in carry])
     right = laid.withColumn("_i", every).select(*block, "_i", F.col("_own").alias("_j"), F.col("_m").alias("b"), *[F.col(c).alias(f"{c}_b") for c in carry])
     pairs = left.join(right, [*block, "_i", "_j"]).filter("a < b")
-    return pairs.select("a", "b", *[f"{c}_a" for c in carry], *[f"{c}_b" for c in carry]).dropDuplicates(["a", "b"])
+    pairs = pairs.select("a", "b", *[f"{c}_a" for c in carry], *[f"{c}_b" for c in carry])
+    return pairs if pairs_per_block else pairs.dropDuplicates(["a", "b"])
