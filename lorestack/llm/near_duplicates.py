@@ -134,10 +134,10 @@ def _sets(texts: list[str | None], run: int) -> Iterator[tuple[int, list[np.ndar
 
 
 def signed_texts(docs: DataFrame, key: str, text: str, run: int, bands: int, rows: int) -> DataFrame:
-    """(key, class, bands, bits) of each text with at least `run` words, in one pass without a shuffle.
+    """(key, class, proof, bands, bits) of each text with at least `run` words, in one pass without a shuffle.
 
-    The class of a text is a 64-bit hash of its set of word runs. bands and bits are given where a task sees a class for
-    the first time and null where it sees it again, so copies are combined before any shuffle.
+    class and proof are the halves of a 128-bit hash of the text's set of word runs. bands and bits are given where a task
+    sees a set for the first time and null where it sees it again, so copies are combined before any shuffle.
     """
     kind = docs.schema[key].dataType.simpleString()
 
@@ -146,7 +146,7 @@ def signed_texts(docs: DataFrame, key: str, text: str, run: int, bands: int, row
         for batch in stream:
             for start, sets in _sets(batch.column(1).to_pylist(), run):
                 keep = [i for i, s in enumerate(sets) if len(s)]
-                classes = [xxhash.xxh64_intdigest(sets[i].tobytes()) for i in keep]
+                classes = [xxhash.xxh128_intdigest(sets[i].tobytes()) for i in keep]
                 new: dict[int, int] = {}
                 for c, i in zip(classes, keep):
                     if c not in seen and c not in new:
@@ -160,15 +160,43 @@ def signed_texts(docs: DataFrame, key: str, text: str, run: int, bands: int, row
                     for x, kind in ((band_keys(signed, bands, rows), pa.int32()), (packed_bits(signed), pa.int64()))
                 ]
                 ids = batch.column(0).take(pa.array([start + i for i in keep], pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(classes, np.uint64).view(np.int64), pa.int64()), *lists], ["key", "class", "bands", "bits"])
+                halves = [pa.array(np.array([c >> shift & (1 << 64) - 1 for c in classes], np.uint64).view(np.int64), pa.int64()) for shift in (64, 0)]
+                yield pa.RecordBatch.from_arrays([ids, *halves, *lists], ["key", "class", "proof", "bands", "bits"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(sign, f"key {kind}, class long, bands array<int>, bits array<long>")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(sign, f"key {kind}, class long, proof long, bands array<int>, bits array<long>")
+
+
+def distinct_classes(signed: DataFrame) -> DataFrame:
+    """signed (key, class, proof, ...) without proof, where different sets whose classes collide (some three pairs among 10^10
+    texts) have classes of their own."""
+    both = signed.groupBy("class").agg(F.min("proof").alias("_l"), F.max("proof").alias("_h")).filter("_l <> _h").select("class", F.lit(True).alias("_clash"))
+    both = cut(both)
+    if both.isEmpty():
+        return signed.drop("proof")
+    apart = F.when(F.col("_clash"), F.xxhash64("class", "proof")).otherwise(F.col("class"))
+    return lookup_join(signed, both, ["class"], "left", spread=F.col("key")).withColumn("class", apart).drop("_clash", "proof")
+
+
+def prefix_rows(docs: DataFrame, text: str, classes: DataFrame, key: str, run: int, threshold: float) -> DataFrame:
+    """(class, hash): of each class (key, class) the least n - ceil(threshold * n) + 1 of its n run hashes. Two sets that are
+    alike to the threshold have one of these in common, whatever the order, so blocks of them lose no pair."""
+
+    def take(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for start, sets in _sets(batch.column(1).to_pylist(), run):
+                least = [s[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1] for s in sets]  # sets are sorted
+                at = pa.array(np.repeat(np.arange(len(sets)) + start, [len(x) for x in least]), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate([*least, np.empty(0, np.uint64)]).view(np.int64), pa.int64())], ["class", "hash"])
+
+    first = classes.groupBy("class").agg(F.min("key").alias("key"))
+    texts = lookup_join(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), first, ["key"]).select("class", "text").dropDuplicates(["class"])
+    return texts.mapInArrow(take, "class long, hash long")
 
 
 def similar_classes(
     docs: DataFrame, key: str, text: str, threshold: float = 0.8, run: int = 5, band_miss: float = 0.02, miss: float = 0.002,
     keep: Callable[[DataFrame], DataFrame] | None = None,
-    source: DataFrame | None = None,
+    source: DataFrame | None = None, exact: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of texts that are alike to at least `threshold`, by the Jaccard similarity of their sets of runs of
     `run` words.
@@ -179,20 +207,24 @@ def similar_classes(
     the comparison of signatures with a chance of about `miss`. Null, empty and shorter texts have no class. Repeated keys
     give repeated members. Only key and text are read. `keep` may select members and rename their key; classes without a
     member left have no pairs. `source` has the texts by key as docs has, where reading docs again would cost more.
+    With `exact` no pair is missed: candidates share a run hash of their least ones instead of a band, and all are verified.
     """
     bands, rows = band_plan(threshold, band_miss)
-    signed = cut(signed_texts(docs, key, text, run, bands, rows))
+    signed = distinct_classes(cut(signed_texts(docs, key, text, run, bands, rows)))
     every = signed.select("key", "class")
     members = keep(every) if keep else every
     fresh = signed.filter("bits is not null")
     banded = fresh.select("class", F.posexplode("bands").alias("no", "band")).withColumn("no", F.col("no").cast("short"))
-    candidates = block_pairs(banded, ["no", "band"], "class")
+    if exact:
+        candidates = block_pairs(cut(prefix_rows(source or docs, text, every, key, run, threshold)), ["hash"], "class")
+    else:
+        candidates = block_pairs(banded, ["no", "band"], "class")
     if keep:
         there = members.select("class").distinct()
         candidates = candidates.join(there.withColumnRenamed("class", "a"), "a", "left_semi").join(there.withColumnRenamed("class", "b"), "b", "left_semi")
     bits = fresh.select("class", "bits").dropDuplicates(["class"])
     pairs = candidates.join(bits.select(F.col("class").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("class").alias("b"), F.col("bits").alias("y")), "b")
-    survivors = cut(pairs.filter(_agrees(least_agreement(threshold, miss, 64, bands * rows // 64))).select("a", "b"))
+    survivors = cut((candidates if exact else pairs.filter(_agrees(least_agreement(threshold, miss, 64, bands * rows // 64)))).select("a", "b"))
     # the texts of the survivors, and of these one for each class
     needed = survivors.select(F.col("a").alias("class")).union(survivors.select(F.col("b").alias("class"))).distinct()
     first = cut(every.join(needed, "class", "left_semi").groupBy("class").agg(F.min("key").alias("key")))
