@@ -1,14 +1,14 @@
 """Variant spellings of names typed by people.
 
-Method: names are parsed to tokens without titles, accents, punctuation and forms of business; blocked by phonetic codes
-of their tokens, those of people also by all that slips can leave of them; compared with Jaro-Winkler and a table of everyday forms; accepted pairs are clustered by connected
-components. Names that say less than a full name (an initial, a login, an acronym) don't join clusters to each other:
-they are attached in a second step, and only where exactly one cluster of the workspace fits best.
+Method: names are parsed to tokens without titles, accents, punctuation and forms of business; blocked by the phonetic
+codes of their sorted tokens, everyday forms put for given names, and, so that no pair that the comparison accepts is
+lost, by all that slips can leave of a token; compared with Jaro-Winkler and a table of everyday forms; accepted pairs are
+clustered by connected components. Names that say less than a full name (an initial, a login, an acronym) don't join
+clusters to each other: they are attached in a second step, and only where exactly one cluster of the workspace fits best.
 
 Scale: equal names of a workspace are one class before anything is compared, so a name typed a million times is one row.
-Tokens that many names share (given names, learned from counts over all names) make no phonetic block alone; blocks by
-slips are narrowed by the other tokens where they are large. Large blocks are split into cells. What is broadcast is the table of everyday forms and the common tokens, whose number is at most
-3 / COMMON_SHARE.
+No token is left out for being common: blocks by slips are narrowed by the other tokens where they are large, and large
+blocks are split into cells. What is broadcast is the table of everyday forms, given and learned.
 """
 
 from __future__ import annotations
@@ -26,11 +26,10 @@ from lorestack.operators.components import connected_components
 from lorestack.session import cut
 from lorestack.sources.tables import current_rows, kind_key, table
 
-#: A token in more than this share of all person names makes no block alone (given names do; family names don't).
-COMMON_SHARE = 0.002
-
 #: When two given names are taken for forms of one.
-FORM_CASES, FORM_SHARE = 3, 0.4
+FORM_CASES, FORM_SHARE, MOST_FORMS = 3, 0.4, 1_000_000
+#: A token that is a family name in more than this share of all two-word names is a given name written last.
+COMMON_SHARE = 0.002
 
 #: A block by slips of more people than this is narrowed by what their other tokens can have in common.
 SLIP_BLOCK = 16
@@ -65,6 +64,8 @@ _END = sorted([*TRADES, *SHORT, *LEGAL], key=len, reverse=True)
 
 
 def plain(text: str) -> str:
+    if text.isascii():
+        return text.lower()
     text = unicodedata.normalize("NFKD", text.replace("ß", "ss").replace("ø", "o").replace("Ø", "O").replace("ł", "l").replace("æ", "ae"))
     return "".join(c for c in text if not unicodedata.combining(c)).lower()
 
@@ -105,9 +106,28 @@ def near_trade(token: str) -> str | None:
     return None
 
 
+def edits(a: str, b: str) -> int:
+    """Levenshtein distance, a column of the table at a time in the bits of two numbers."""
+    if not a:
+        return len(b)
+    peq: dict[str, int] = {}
+    for i, c in enumerate(a):
+        peq[c] = peq.get(c, 0) | 1 << i
+    mask, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, score = mask, 0, len(a)
+    for c in b:
+        eq = peq.get(c, 0)
+        flat = ((eq & up) + up ^ up) | eq | down
+        right, left = down | ~(flat | up) & mask, up & flat
+        score += bool(right & top) - bool(left & top)
+        right, left = right << 1 | 1, left << 1
+        up, down = (left | ~(flat | right)) & mask, right & flat & mask
+    return score
+
+
 def slips(a: str, b: str, most: int) -> int:
     """Edit distance with swaps of neighbours; stops above `most`."""
-    if abs(len(a) - len(b)) > most:
+    if abs(len(a) - len(b)) > most or len(a) > 16 and edits(a, b) > 2 * most:  # a swap is two edits
         return most + 1
     two: list[int] = []
     one = list(range(len(b) + 1))
@@ -236,20 +256,32 @@ def parse_name(title: str | None, kind: str | None) -> list[tuple[str, str, str,
     return [x for x in out if x[0] != "none"]
 
 
-def keys_of(form: str, name: str, other: str, legal: str, common: set[str]) -> list[str]:
-    """The blocks of a reading."""
+def sorted_codes(tokens: list[str], everyday: dict[str, set[str]]) -> list[str]:
+    """Phonetic codes of a name's sorted tokens; a token with everyday forms also by each of these."""
+    forms = [sorted(everyday.get(t, {t})) for t in tokens]
+    own = ["|".join(sorted(map(phonetic, tokens)))]
+    for i, x in enumerate(forms):
+        own += ["|".join(sorted(phonetic(f if k == i else t) for k, t in enumerate(tokens))) for f in x]
+    return own
+
+
+def keys_of(form: str, name: str, other: str, legal: str, everyday: dict[str, set[str]]) -> list[str]:
+    """The blocks of a reading. Two readings that compare accepts have one in common, but for two full names of people, whose
+    other blocks are slip_blocks."""
     tokens = name.split()
     if form == "person":
-        rare = [t for t in tokens if t not in common] or tokens
-        return sorted({"p" + k for t in rare for k in sound_keys(t)})
+        out = {"P" + k for k in sorted_codes(tokens, everyday)} | {"c" + tokens[0] + tokens[-1], "c" + tokens[-1] + tokens[0]}
+        for i, j in ((-1, 0), (0, -1)):
+            out.update(f"i{tokens[j][0]}{k}" for k in slip_keys(tokens[i]))
+        return sorted(out)
     if form == "initial":
-        return ["p" + k for k in sound_keys(name)]
+        return [f"i{other}{k}" for k in slip_keys(name)]
     if form == "login":
-        return ["p" + k for k in sound_keys(name[1:])]
+        return sorted({f"i{name[0]}{k}" for k in slip_keys(name[1:])} | {"c" + name} | {"g" + k for k in slip_keys(name)})
     if form == "firm":
         letters, _, ends = legal.partition("|")
-        out = {"f" + k for t in tokens for k in sound_keys(t)} | {"a" + letters, "a" + letters + ends[:1]}
-        return sorted(out)
+        out = {"f" + k for t in tokens for k in sound_keys(t)} | {"F" + "|".join(sorted(map(phonetic, tokens)))} | {"=" + "".join(tokens)}
+        return sorted(out | {"s" + k for t in tokens for k in slip_keys(t)} | {"a" + letters, "a" + letters + ends[:1]})
     return ["a" + name]
 
 
@@ -368,18 +400,14 @@ def link_names(entities: DataFrame, forms: DataFrame) -> DataFrame:
     readings = readings.withColumn("class", label)
     classes = readings.select("ws", "form", "name", "other", "legal", "class").distinct()
     people = classes.filter("form = 'person'")
-    counts = people.select(F.explode(F.split("name", " ")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    total = people.count()
-    common = {r.t for r in counts.filter(F.col("n") > max(5.0, COMMON_SHARE * total)).collect()}  # at most 3 / COMMON_SHARE
-
-    everyday = learn_forms(people, common, everyday)
+    everyday = learn_forms(people, everyday)
 
     @F.pandas_udf("array<string>")
     def blocks(form: pd.Series, name: pd.Series, other: pd.Series, legal: pd.Series) -> pd.Series:
-        return pd.Series([keys_of(*x, common) for x in zip(form, name, other, legal)])
+        return pd.Series([keys_of(*x, everyday) for x in zip(form, name, other, legal)])
 
     blocked = classes.withColumn("key", F.explode(blocks("form", "name", "other", "legal"))).select("ws", "key", "class")
-    pairs = block_pairs(blocked.union(slip_blocks(people, everyday)), ["ws", "key"], "class")
+    pairs = block_pairs(cut(blocked.union(slip_blocks(people, everyday))), ["ws", "key"], "class")
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -434,25 +462,32 @@ def slip_blocks(people: DataFrame, everyday: dict[str, set[str]]) -> DataFrame:
     return sized.select("ws", F.explode(narrowed("key", name, "at", "n")).alias("key"), "class")
 
 
-def learn_forms(people: DataFrame, common: set[str], everyday: dict[str, set[str]]) -> dict[str, set[str]]:
+def learn_forms(people: DataFrame, everyday: dict[str, set[str]]) -> dict[str, set[str]]:
     """The everyday forms and those that the names themselves show: the table is incomplete.
 
     A given name that stands beside one other given name, before the same family name in the same workspace, in at least
-    FORM_SHARE of the cases where it stands beside any, and FORM_CASES times (or twice and never beside another), is a form of it. Relatives share a family
-    name too, but with given names of all kinds. The result has at most 1 / FORM_SHARE forms for each given name that is
-    common or stands beside a common one that often; counts are combined before they are collected.
+    FORM_SHARE of the cases where it stands beside any, and FORM_CASES times, is a form of it. Relatives share a family
+    name too, but with given names of all kinds. A token that stands last in more than COMMON_SHARE of the names is a
+    given name written last. Given names of one family name meet in cells, so a family name of a whole workspace is no
+    hot key. What is collected is at most 1 / FORM_SHARE forms for each given name that is so often seen: a vocabulary of
+    given names, far smaller than the names; it is refused beyond MOST_FORMS rather than cut.
     """
     two = people.filter(F.size(F.split("name", " ")) == 2).select("ws", F.split("name", " ").alias("p"))
-    sides = two.select("ws", F.explode(F.array(F.struct(F.col("p")[0].alias("given"), F.col("p")[1].alias("family")), F.struct(F.col("p")[1].alias("given"), F.col("p")[0].alias("family")))).alias("s")).select("ws", "s.*")
-    sides = sides.filter(~F.col("family").isin(sorted(common)) & (F.length("family") >= 5)).distinct()
-    left, right = sides.withColumnRenamed("given", "a"), sides.withColumnRenamed("given", "b")
-    both = left.join(right, ["ws", "family"]).filter(F.col("a") != F.col("b"))
+    way = lambda g, f: F.struct(F.col("p")[g].alias("given"), F.col("p")[f].alias("family"))
+    sides = cut(two.select("ws", F.explode(F.array(way(0, 1), way(1, 0))).alias("s")).select("ws", "s.*").filter(F.length("family") >= 5).distinct())
+    spread = sides.groupBy("family").agg(F.count("*").alias("c"))
+    total = two.count()
+    given = spread.filter((F.col("c") > 5) & (F.col("c") > COMMON_SHARE * total)).select("family")
+    pairs = block_pairs(cut(sides.join(given, "family", "left_anti")), ["ws", "family"], "given", pairs_per_block=True)
+    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counts = both.groupBy("a", "b").agg(F.count("*").alias("n"))
-    total = counts.groupBy("a").agg(F.sum("n").alias("total"))
+    total_of = counts.groupBy("a").agg(F.sum("n").alias("total"))
     often = (F.col("n") >= FORM_CASES) & (F.col("n") >= FORM_SHARE * F.col("total"))
-    found = counts.join(total, "a").filter(often | (F.col("n") == 2) & (F.col("total") == 2)).select("a", "b").collect()
+    found = counts.join(total_of, "a").filter(often | (F.col("n") == 2) & (F.col("total") == 2)).select("a", "b").limit(MOST_FORMS + 1).collect()
+    if len(found) > MOST_FORMS:
+        raise RuntimeError(f"more than {MOST_FORMS} forms of given names were learned")
     out = {k: set(v) for k, v in everyday.items()}
-    for r in found:
+    for r in sorted(found):
         if r.a not in out.get(r.b, ()):
             out.setdefault(r.a, {r.a}).update(out.get(r.b, {r.b}) | {r.b})
             out.setdefault(r.b, {r.b})

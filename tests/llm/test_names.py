@@ -65,3 +65,39 @@ def test_pairs_that_compare_accepts_share_keys():
             assert names.given_keys(a, everyday) & names.given_keys(b, everyday), (a, b)
     for a, b in (("kate", "katherine"), ("bob", "robert"), ("ann", "annabel"), ("bella", "arabella")):
         assert names.given_alike(a, b, everyday) and names.given_keys(a, everyday) & names.given_keys(b, everyday)
+
+
+def test_common_tokens_on_both_sides(spark):
+    # both names consist of common tokens; one given name is an everyday form
+    given = ["Ada", "Bert", "Cleo", "Dora", "Egon", "Fritz", "Gala", "Hedda", "Ivo", "Jette"]
+    family = ["Belmarin", "Corvandal", "Dosterwick", "Fanlimore", "Gostavel", "Jarrendahl", "Kilpomere", "Lundavek", "Mostrigan", "Nerwindal"]
+    rows = [("w", "William Smithson", "person"), ("w", "Bill Smithson", "person"), ("w", "W. Smithson", "person"), ("w", "wsmithson", None)]
+    rows += [("w", f"William {f}", "person") for f in family] + [("w", f"{g} Smithson", "person") for g in given]
+    assert linked(spark, rows, (("William", "Bill"),)) == [[0, 1, 2, 3]]
+
+
+def test_readings_that_compare_accepts_share_blocks():
+    everyday = names.everyday_forms([("Katherine", "Kate")])
+    readings = [r for t, k in (("Katherine Alongård", "person"), ("alongard, Kate", "person"), ("K. Alongrad", "person"), ("kalongard", None), ("alongardkate", None), ("Belloc Robotics Ltd", "organisation"),
+                ("Beloc Robotics Limited", "organisation"), ("Bellocrobotics", "organisation"), ("BRL", "organisation"), ("Kate Marie Alongard", "person")) for r in names.parse_name(t, k)]
+    met = 0
+    for i, a in enumerate(readings):
+        for b in readings[i + 1 :]:
+            if a[0] == b[0] == "person":
+                continue
+            if names.compare(a, b, everyday)[1] > 0:
+                met += 1
+                assert set(names.keys_of(*a, everyday)) & set(names.keys_of(*b, everyday)), (a, b)
+    assert met > 8
+
+
+def test_edits_equal_the_table():
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        a, b = ("".join(rng.choice(list("abc"), int(rng.integers(0, 24)))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert names.edits(a, b) == row[-1], (a, b)
