@@ -77,3 +77,14 @@ def test_misread_words_are_found_though_some_clean_text_has_them(spark):
         rows = [(w, 700 * size, 300 * size, 0) for w in known] + [("modem", 70 * size, 30 * size, 0), ("e@rlier", size, 3 * size, 0), ("c0mpass", size, 2 * size, 0), ("harb0ur", 0, 2 * size, 0)]
         counts = spark.createDataFrame(rows, "word string, clean long, scanned long, cut long")
         assert {tuple(r) for r in scans.find_corrections(counts).collect()} == {("e@rlier", "earlier"), ("c0mpass", "compass"), ("harb0ur", "harbour")}
+
+
+def test_links_count_in_any_case_and_sentences_in_any_script():
+    from lorestack.llm.spam import FEATURES, page_features
+
+    share = lambda text, name: page_features(text)[FEATURES.index(name)]
+    lines = "\n".join(f"http://site{i}.example/page/{i}" for i in range(30))
+    assert share(lines, "links") == share(lines.upper(), "links") == 1.0
+    assert share("\n".join(f"{i}. best water filter http://site{i}.example/page/{i}" for i in range(9)), "links") == 1.0
+    assert share("なぜ記録が先に訂正されたのか、誰も説明できない。LIB-1016が終わるまで倉庫は保留とする。" * 4, "sentences") == 1.0
+    assert share("Tags: solar charger | travel mug | seat cover | loan offer | label printer", "goods") == 1.0
