@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorestack.operators import history as H
+from lorestack.operators import lifecycle as L
 from lorestack.plans.base import Registry
 from lorestack.plans.duck import EDGE, EVID, HEAD, RUNS
 from lorestack.session import lookup_join
@@ -55,12 +56,12 @@ def source_list(spark, folder):
 
 
 @query(
-    "WITH s AS (SELECT id, sha256(text) AS h, min(captured_at) AS c FROM source_item WHERE length(text) > 0 GROUP BY 1, 2), k AS (SELECT h, arg_min(id, (c, id)) AS kept FROM s GROUP BY 1 HAVING count(*) > 1) SELECT id, kept FROM s JOIN k USING (h) WHERE id <> kept"
+    "WITH s AS (SELECT id, sha256(concat_ws(chr(31), media_type, coalesce(uri, ''), text)) AS h, min(captured_at) AS c FROM source_item WHERE length(text) > 0 GROUP BY 1, 2), k AS (SELECT h, arg_min(id, (c, id)) AS kept FROM s GROUP BY 1 HAVING count(*) > 1) SELECT id, kept FROM s JOIN k USING (h) WHERE id <> kept"
 )
 def source_duplicates(spark, folder):
-    """Sources captured again with the same text, and the first of each."""
+    """Sources captured again with the same media type, address and text, and the first of each."""
     rows = table(spark, folder, "source_item").filter("length(text) > 0")
-    hashed = rows.select("id", "captured_at", H.content_hash(F.col("text")).alias("h")).groupBy("id", "h").agg(F.min("captured_at").alias("c"))
+    hashed = rows.select("id", "captured_at", H.content_hash(F.col("media_type"), F.col("uri"), F.col("text")).alias("h")).groupBy("id", "h").agg(F.min("captured_at").alias("c"))
     kept = hashed.groupBy("h").agg(F.min(F.struct("c", "id")).alias("k"), F.count("*").alias("n")).filter("n > 1").select("h", F.col("k.id").alias("kept"))
     return hashed.join(kept, "h").filter("id <> kept").select("id", "kept")
 
@@ -142,12 +143,13 @@ def version_changes(spark, folder):
 
 
 @query(
-    "WITH h AS (SELECT DISTINCT id, created_at, sha256(concat_ws(chr(31), coalesce(trim(title), ''), coalesce(trim(body), ''))) AS h FROM knowledge_object), k AS (SELECT h, arg_min(id, (created_at, id)) AS kept FROM h GROUP BY 1 HAVING count(*) > 1) SELECT id, kept FROM h JOIN k USING (h) WHERE id <> kept"
+    f"""WITH {HEAD}, h AS (SELECT id, workspace_id, origin, created_at, concat_ws(chr(31), kind, trim(title), trim(coalesce(body, '')), attrs) AS h FROM head WHERE state IN ('active', 'archived') AND review IS DISTINCT FROM 'rejected'),
+k AS (SELECT workspace_id, origin, h, arg_min(id, (created_at, id)) AS kept FROM h GROUP BY 1, 2, 3 HAVING count(*) > 1) SELECT id, kept FROM h JOIN k USING (workspace_id, origin, h) WHERE id <> kept"""
 )
 def content_duplicates(spark, folder):
-    """Versions of objects that say the same as an older object, and the oldest of each."""
-    rows = ko(spark, folder).select("id", "created_at", F.trim("title").alias("title"), F.trim("body").alias("body")).distinct()
-    return H.duplicates(rows, [F.col("title"), F.col("body")], [], "id", "created_at")
+    """Objects of a workspace and origin that say the same as an older one, and the oldest of each."""
+    rows = current_rows(ko(spark, folder), "workspace_id", "origin", "kind", "title", "body", "attrs", "state", "review", "created_at").filter(F.col("state").isin("active", "archived") & ~F.coalesce(F.col("review") == "rejected", F.lit(False)))
+    return H.duplicates(rows.withColumn("h", L.object_hash()), [F.col("h")], ["workspace_id", "origin"], "id", "created_at")
 
 
 @query(f"WITH {HEAD} SELECT id, title, coalesce(occurred_at, created_at) AS moment FROM head WHERE state IN ('active', 'archived', 'superseded') ORDER BY moment DESC, id LIMIT 100")
@@ -203,18 +205,19 @@ def supersessions(spark, folder):
     return rows.filter("superseded_by is not null").join(new, F.col("superseded_by") == F.col("replaced_by")).select("id", "title", "replaced_by", "new_title", "new_state")
 
 
-@query(f"WITH {RUNS} SELECT provider, model, count(*) AS calls, CAST(coalesce(sum(cost_micros), 0) AS BIGINT) AS micros, count(*) FILTER (WHERE status = 'error') AS failures, CAST(round(avg(latency_ms)) AS BIGINT) AS latency FROM runs GROUP BY 1, 2")
+@query(f"WITH {RUNS} SELECT provider, model, count(*) AS calls, CAST(coalesce(sum(cost_micros), 0) AS BIGINT) AS micros, count(*) FILTER (WHERE status <> 'ok') AS failures, CAST(round(avg(latency_ms)) AS BIGINT) AS latency FROM runs GROUP BY 1, 2")
 def runs_by_provider(spark, folder):
     rows = first_rows(table(spark, folder, "capability_run"), "id", "provider", "model", "cost_micros", "status", "latency_ms")
-    fails = F.sum(F.when(F.col("status") == "error", 1).otherwise(0))
+    fails = F.sum(F.when(F.col("status") != "ok", 1).otherwise(0))
     return rows.groupBy("provider", "model").agg(F.count("*").alias("calls"), F.coalesce(F.sum("cost_micros"), F.lit(0)).alias("micros"), fails.alias("failures"), F.round(F.avg("latency_ms")).cast("long").alias("latency"))
 
 
-@query(f"WITH {RUNS} SELECT capability, CAST(started_at AS DATE) AS day, count(*) AS calls, CAST(coalesce(sum(cost_micros), 0) AS BIGINT) AS micros FROM runs GROUP BY GROUPING SETS ((1, 2), (1), ())")
+@query(f"WITH {RUNS} SELECT capability, CAST(started_at AS DATE) AS day, count(*) AS calls, CAST(coalesce(sum(cost_micros), 0) AS BIGINT) AS micros, count(*) FILTER (WHERE status <> 'ok') AS failures FROM runs GROUP BY GROUPING SETS ((1, 2), (1), ())")
 def runs_by_day(spark, folder):
-    """Calls by capability and day, by capability and in total, in one pass."""
-    rows = first_rows(table(spark, folder, "capability_run"), "id", "capability", "started_at", "cost_micros").withColumn("day", F.to_date("started_at"))
-    return rows.groupingSets([["capability", "day"], ["capability"], []], "capability", "day").agg(F.count("*").alias("calls"), F.coalesce(F.sum("cost_micros"), F.lit(0)).alias("micros"))
+    """Calls, costs and failures by capability and day, by capability and in total, in one pass."""
+    rows = first_rows(table(spark, folder, "capability_run"), "id", "capability", "started_at", "cost_micros", "status").withColumn("day", F.to_date("started_at"))
+    fails = F.coalesce(F.sum(F.when(F.col("status") != "ok", 1).otherwise(0)), F.lit(0)).alias("failures")
+    return rows.groupingSets([["capability", "day"], ["capability"], []], "capability", "day").agg(F.count("*").alias("calls"), F.coalesce(F.sum("cost_micros"), F.lit(0)).alias("micros"), fails)
 
 
 @query(
@@ -292,14 +295,14 @@ def echo_removal(spark, folder):
 
 
 @query(
-    f"""WITH {HEAD}, e AS (SELECT id, concat_ws(',', CASE WHEN confidence < 0 OR confidence > 1 THEN 'confidence' END, CASE WHEN trim(title) = '' OR length(title) > 60 THEN 'title' END, CASE WHEN state NOT IN ('active', 'archived') THEN 'state' END, CASE WHEN valid_until < valid_from THEN 'validity' END, CASE WHEN superseded_by = id THEN 'self' END) AS errors FROM head) SELECT id, errors FROM e WHERE errors <> ''"""
+    f"""WITH {HEAD}, e AS (SELECT id, concat_ws(',', CASE WHEN confidence < 0 OR confidence > 1 THEN 'confidence' END, CASE WHEN trim(title) = '' OR length(title) > 500 THEN 'title' END, CASE WHEN state NOT IN ('active', 'archived', 'superseded', 'deleted') THEN 'state' END, CASE WHEN valid_until < valid_from THEN 'validity' END, CASE WHEN superseded_by = id THEN 'self' END) AS errors FROM head) SELECT id, errors FROM e WHERE errors <> ''"""
 )
 def validation_errors(spark, folder):
     """All rules that an object breaks."""
     rows = current_rows(ko(spark, folder), "confidence", "title", "state", "valid_from", "valid_until", "superseded_by")
     rules = {
-        "confidence": (F.col("confidence") < 0) | (F.col("confidence") > 1), "title": (F.trim("title") == "") | (F.length("title") > 60),
-        "state": ~F.col("state").isin("active", "archived"), "validity": F.col("valid_until") < F.col("valid_from"), "self": F.col("superseded_by") == F.col("id"),
+        "confidence": (F.col("confidence") < 0) | (F.col("confidence") > 1), "title": (F.trim("title") == "") | (F.length("title") > 500),
+        "state": ~F.col("state").isin("active", "archived", "superseded", "deleted"), "validity": F.col("valid_until") < F.col("valid_from"), "self": F.col("superseded_by") == F.col("id"),
     }
     return rows.select("id", F.array_join(F.array_compact(F.array(*[F.when(c, n) for n, c in rules.items()])), ",").alias("errors")).filter("errors <> ''")
 
