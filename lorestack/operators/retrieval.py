@@ -14,16 +14,21 @@ TITLE_WEIGHT, K1, B = 3, 1.2, 0.75
 FEW_TERMS = 500
 
 
-def bm25(docs: DataFrame, key: str, title: Column, text: Column, queries: DataFrame, k: int = 10) -> DataFrame:
+def bm25(docs: DataFrame, key: str, title: Column, text: Column, queries: DataFrame, k: int = 10, prefix: bool = False) -> DataFrame:
     """(query_id, key, score, rank): the k best documents of each query (query_id, query), all queries in one plan.
 
+    With `prefix` a term of a query stands for all words that begin with it (for batches of up to FEW_TERMS terms).
     Terms that no query has are dropped before the shuffle; document frequencies and lengths are over all documents.
     The queries are broadcast below a checked size. Rank by score rounded to 6 places, then key."""
     wanted = queries.select("query_id", F.explode(F.array_distinct(T.words(F.col("query")))).alias("term"))
     few = [r.term for r in wanted.select("term").distinct().limit(FEW_TERMS + 1).collect()]
     rows = docs.select(F.col(key).alias("key"), T.words(title).alias("a"), T.words(text).alias("b")).withColumn("len", F.size("a") + F.size("b"))
+    if prefix and len(few) > FEW_TERMS:
+        raise ValueError(f"prefixes are looked for in batches of up to {FEW_TERMS} terms")
     if len(few) <= FEW_TERMS:  # texts are read once, and only what the queries ask for is kept of them
-        own = lambda c: F.filter(c, lambda t: t.isin(few))
+        asked = F.array(*map(F.lit, few)).cast("array<string>")
+        starts = lambda t: F.filter(asked, lambda q: F.startswith(t, q))
+        own = lambda c: F.flatten(F.transform(c, starts)) if prefix else F.filter(c, lambda t: t.isin(few))
         rows = cut(rows.select("key", "len", own("a").alias("a"), own("b").alias("b")))
     sizes = rows.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).first()  # two numbers
     n, average = sizes.n_docs, sizes.avg_len or 1.0
@@ -78,8 +83,8 @@ def salience(now: str) -> Column:
 
 
 def proximity(terms: Column, query: list[str]) -> Column:
-    """Coverage of the query's terms and how near their first positions are, in [0, 1]."""
+    """Coverage of the query's terms and how near their first positions are, in [0, 1]; 0.125 where none occurs."""
     at = F.filter(F.array(*[F.array_position(terms, q) for q in query]), lambda p: p > 0)
     hits = F.size(at)
-    near = F.when(hits == 1, 0.5).otherwise(1 / (1 + (F.array_max(at) - F.array_min(at)) / hits / 10))
-    return F.when(hits == 0, 0.0).otherwise(hits / len(query) * 0.75 + near * 0.25)
+    near = F.when(hits < 2, 0.5).otherwise(1 / (1 + (F.array_max(at) - F.array_min(at)) / hits / 10))
+    return hits / len(query) * 0.75 + near * 0.25

@@ -9,7 +9,6 @@ from lorestack.operators import capture as C
 from lorestack.operators import entities as E
 from lorestack.operators import history as H
 from lorestack.operators import mining as M
-from lorestack.operators import retrieval as R
 from lorestack.operators.search import browse, parse_query
 from lorestack.plans import duck
 from lorestack.plans.base import Registry
@@ -78,30 +77,6 @@ def filter_browse(spark, folder):
     return browse(rows, intent, 80).select("id", "title", F.coalesce("occurred_at", "created_at").alias("moment"))
 
 
-_HYBRID = f"""d AS (SELECT id, updated_at, state, review, {duck.words('title')} AS a, {duck.words('body')} AS b FROM head WHERE state <> 'deleted'), size AS (SELECT count(*) AS n, avg(len(a) + len(b)) AS avg_len FROM d),
-p AS (SELECT id, l, term, sum(w) AS w FROM (SELECT id, len(a) + len(b) AS l, unnest(a) AS term, 3 AS w FROM d UNION ALL SELECT id, len(a) + len(b), unnest(b), 1 FROM d) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-bm AS (SELECT id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * w * 2.2 / (w + 1.2 * (0.25 + 0.75 * l / avg_len))), 6) AS score FROM p JOIN df USING (term), size WHERE term IN ('harbour', 'archive', 'forecast', 'measurement') GROUP BY 1),
-lex AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm), rec AS (SELECT id, row_number() OVER (ORDER BY updated_at DESC, id) AS rank FROM d),
-u AS (SELECT id, 1e0 / (60 + rank) AS s FROM lex WHERE rank <= 100 UNION ALL SELECT id, 0.6e0 / (60 + rank) FROM rec WHERE rank <= 100), f AS (SELECT id, sum(s) AS s FROM u GROUP BY 1)"""
-
-
-@query(
-    f"""WITH {HEAD}, {_HYBRID} SELECT id, floor(1e6 * (s * (0.85e0 + 0.15e0 * pow(0.5e0, greatest(0, date_diff('day', CAST(updated_at AS DATE), DATE '2026-01-01')) / 180e0)) * (CASE review WHEN 'confirmed' THEN 1.25e0 WHEN 'rejected' THEN 0.4e0 ELSE 1e0 END)) + 0.5e0) / 1e6 AS score FROM f JOIN d USING (id)"""
-)
-def hybrid_search(spark, folder):
-    """Lexical and structured candidates over objects, fused, weighted by age and review."""
-    rows = current_rows(ko(spark, folder), "title", "body", "state", "review", "updated_at").filter("state <> 'deleted'")
-    ask = spark.createDataFrame([(0, "harbour archive forecast measurement")], "query_id int, query string")
-    lexical = R.bm25(rows, "id", F.col("title"), F.col("body"), ask, 100).select("key", "rank")
-    from pyspark.sql import Window
-
-    newest = rows.select(F.col("id").alias("key"), "updated_at").orderBy(F.desc("updated_at"), "key").limit(100)
-    newest = newest.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("updated_at"), "key"))).select("key", "rank")
-    fused = R.fuse({"lexical": (lexical, 1.0), "structured": (newest, 0.6)}).withColumnRenamed("key", "id")
-    review = F.when(F.col("review") == "confirmed", 1.25).when(F.col("review") == "rejected", 0.4).otherwise(1.0)
-    return fused.join(rows.select("id", "updated_at", "review"), "id").select("id", T.round_half(F.col("score") * R.recency(F.col("updated_at"), NOW) * review).alias("score"))
-
-
 # Fixed values, written out apart from those of the engine: words that don't begin or end a concept.
 _NOISE = (
     "done get got make made use used using go going went really quite still only even never always often rather simply merely good bad big small cannot cant wont ought need needs want wants name names user users "

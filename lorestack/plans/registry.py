@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorestack.operators import incremental, orphans
-from lorestack.plans import capture, extract, graph, lifecycle, retrieval, store, text
+from lorestack.plans import capture, extract, graph, lifecycle, recall, retrieval, store, text
 
-MODULES = (orphans, incremental, text, store, graph, retrieval, extract, capture, lifecycle)
+MODULES = (orphans, incremental, text, store, graph, retrieval, extract, capture, lifecycle, recall)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

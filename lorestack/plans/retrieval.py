@@ -88,12 +88,12 @@ def object_scores(spark, folder):
 
 
 @query(
-    f"""WITH c AS (SELECT doc_id, {duck.content('text')} AS t FROM documents), p AS (SELECT doc_id, [x for x in [list_position(t, 'harbour'), list_position(t, 'archive'), list_position(t, 'forecast')] if x > 0] AS pos FROM c)
-SELECT doc_id, round(len(pos) / 3 * 0.75 + 0.25 * (CASE WHEN len(pos) = 1 THEN 0.5 ELSE 1 / (1 + (list_max(pos) - list_min(pos)) / len(pos) / 10) END), 6) AS score FROM p WHERE len(pos) > 0"""
+    f"""WITH c AS (SELECT doc_id, {duck.tokens('text')} AS t FROM documents), p AS (SELECT doc_id, [x for x in [list_position(t, 'harbour'), list_position(t, 'archive'), list_position(t, 'forecast')] if x > 0] AS pos FROM c)
+SELECT doc_id, floor(1e4 * (len(pos) / 3 * 0.75 + 0.25 * (CASE WHEN len(pos) < 2 THEN 0.5 ELSE 1 / (1 + (list_max(pos) - list_min(pos)) / len(pos) / 10) END)) + 0.5) / 1e4 AS score FROM p"""
 )
 def rerank_proximity(spark, folder):
     score = R.proximity(F.col("t"), ["harbour", "archive", "forecast"])
-    return table(spark, folder, "documents").select("doc_id", T.content_terms(F.col("text")).alias("t")).select("doc_id", F.round(score, 6).alias("score")).filter("score > 0")
+    return table(spark, folder, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t")).select("doc_id", T.round_half(score, 4).alias("score"))
 
 
 _COS = "x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), s AS (SELECT q.vec_id AS query_id, r.vec_id AS key, r.label, round(list_cosine_similarity(q.e, r.e), 6) AS similarity FROM x q JOIN x r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0)"

@@ -324,16 +324,6 @@ def range_counts(spark, folder):
     return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n, _ in counts])).alias("r")).select("r.name", "r.n")
 
 
-@query(f"WITH {HEAD} SELECT lower(trim(kind)) AS kind, count(*) FILTER (WHERE regexp_matches(title, '[0-9]') OR regexp_matches(body, '[0-9]')) AS with_figures, count(*) FILTER (WHERE updated_at < TIMESTAMP '2025-01-01') AS stale, max(coalesce(occurred_at, updated_at)) AS newest FROM head GROUP BY 1")
-def workspace_notices(spark, folder):
-    """Objects with figures, stale ones and the newest of each kind."""
-    rows = current_rows(ko(spark, folder), "kind", "title", "body", "updated_at", "occurred_at")
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return rows.groupBy(kind_key().alias("kind")).agg(
-        n(F.col("title").rlike("[0-9]") | F.col("body").rlike("[0-9]")).alias("with_figures"), n(F.col("updated_at") < F.lit("2025-01-01").cast("timestamp_ntz")).alias("stale"), F.max(F.coalesce("occurred_at", "updated_at")).alias("newest")
-    )
-
-
 @query(
     f"WITH {HEAD}, gone AS (SELECT id FROM head WHERE state = 'deleted') SELECT 'relation' AS table_name, count(*) AS left_rows FROM relation WHERE src_id NOT IN (SELECT id FROM gone) AND (dst_id IS NULL OR dst_id NOT IN (SELECT id FROM gone)) UNION ALL SELECT 'evidence', count(*) FROM evidence WHERE target_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'derivation', count(*) FROM derivation WHERE target_id NOT IN (SELECT id FROM gone)"
 )
