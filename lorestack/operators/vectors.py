@@ -189,6 +189,24 @@ class InvertedLists:
         self.held = rows.sparkSession.createDataFrame(held, sized.select("k", "v").schema)
         self.table = cut(self._assign(rows, {size: 1 for size in index}).withColumn("list", F.col("lists")[0]).select("k", "v", "list"))
         self.measured: dict[tuple[int, float], dict[int, tuple[int, float]]] = {}
+        self.fitted, self.added = self.table.count(), 0
+
+    def add(self, rows: DataFrame) -> None:
+        """Puts new or changed rows into the lists nearest to them; vectors of a new length wait for the next fit."""
+        new = self._assign(rows, {size: 1 for size in self.shared.value}).withColumn("list", F.col("lists")[0]).select("k", "v", "list")
+        kept = self.table.join(new.select("k"), "k", "left_anti").select("k", "v", "list")
+        self.added += new.count()
+        self.table = cut(kept.unionByName(new))
+        self.measured.clear()
+
+    def remove(self, keys: DataFrame) -> None:
+        """Takes the rows of keys (k) out of their lists."""
+        self.table = cut(self.table.join(keys.select("k"), "k", "left_anti").select("k", "v", "list"))
+        self.measured.clear()
+
+    def stale(self) -> bool:
+        """Whether so much was added since the fit (over 200 rows and a quarter) that it should be fitted anew."""
+        return self.added > max(200, 0.25 * self.fitted)
 
     def _assign(self, rows: DataFrame, probes: dict[int, int]) -> DataFrame:
         shared = self.shared
@@ -243,6 +261,17 @@ class InvertedLists:
         return scored.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
 
 
+#: Vectors below which every query is compared with all of them.
+WORTH_AN_INDEX = 5000
+
+
+def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 10, index: InvertedLists | None = None) -> DataFrame:
+    """exact_search below WORTH_AN_INDEX vectors, else a search of inverted lists (`index`, or new ones)."""
+    if index is None and rows.filter(F.size(F.coalesce(F.col(vector), F.array())) > 0).limit(WORTH_AN_INDEX).count() < WORTH_AN_INDEX:
+        return exact_search(queries, rows, key, vector, k)
+    return (index or InvertedLists(rows, key, vector)).search(queries, k)
+
+
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """(query_id, recall): the share of the true neighbours that were found."""
     hit = found.select("query_id", "key", F.lit(1).alias("hit"))

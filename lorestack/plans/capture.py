@@ -14,6 +14,7 @@ from lorestack.plans import duck
 from lorestack.plans.base import Registry
 from lorestack.plans.duck import HEAD
 from lorestack.plans.store import NOW, ko
+from lorestack.sources import readers
 from lorestack.sources.tables import current_rows, kind_key, table
 
 query = Registry()
@@ -23,7 +24,15 @@ QUERIES, SQL = query.QUERIES, query.SQL
 @query()
 def text_chunks(spark, folder):
     """Retrieval units of all documents."""
-    return C.chunk_texts(table(spark, folder, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "seq", "chunk", "hash")
+    return C.chunk_texts(table(spark, folder, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "seq", "chunk", "tokens", "offset", "hash")
+
+
+@query()
+def parsed_sources(spark, folder):
+    """Every source text read by the media type of its address: title, length of the text, headings, links and rows."""
+    rows = table(spark, folder, "source_item").groupBy("id").agg(F.min(F.struct("ingested_at", "uri", "media_type", "text")).alias("r"))
+    typed = rows.select("id", "r.text", F.coalesce(readers.media_type(F.col("r.uri")), "r.media_type").alias("kind"))
+    return readers.parse_texts(typed, "id", "text", "kind").select(F.col("key").alias("id"), "title", F.length("text").alias("chars"), "headings", "links", "rows")
 
 
 @query()

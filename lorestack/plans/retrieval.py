@@ -13,6 +13,7 @@ from lorestack.plans import duck
 from lorestack.plans.base import Registry
 from lorestack.plans.duck import HEAD
 from lorestack.plans.store import NOW
+from lorestack.session import cut
 from lorestack.sources.tables import current_rows, kind_key, table
 
 query = Registry()
@@ -120,10 +121,14 @@ def best_per_label(spark, folder):
 
 @query()
 def ivf_recall(spark, folder):
-    """Recall of the inverted lists for each query of cosine_topk."""
+    """Recall of the inverted lists for each query of cosine_topk; it fails where the mean is under 0.9."""
     queries, rows = vector_queries(spark, folder)
     index = V.InvertedLists(rows, "vec_id", "embedding")
-    return V.recall(index.search(queries), V.exact_search(queries, rows, "vec_id", "embedding"))
+    each = cut(V.recall(index.search(queries), V.exact_search(queries, rows, "vec_id", "embedding")))
+    mean = each.agg(F.avg("recall")).first()[0]
+    if mean is not None and each.count() >= 20 and mean < V.RECALL:
+        raise RuntimeError(f"the inverted lists find {mean:.3f} of the true neighbours")
+    return each
 
 
 @query(

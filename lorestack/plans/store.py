@@ -11,6 +11,7 @@ from lorestack.plans.base import Registry
 from lorestack.plans.duck import EDGE, EVID, HEAD, RUNS
 from lorestack.session import lookup_join
 from lorestack.sources import readers
+from lorestack.sources.exchange import TABLES
 from lorestack.sources.tables import current_rows, kind_key, table
 
 query = Registry()
@@ -95,12 +96,13 @@ def unseen_files(spark, folder):
     return s.filter(F.col("at") > edge).join(s.filter(F.col("at") <= edge), ["uri", "byte_size", "content_hash"], "left_anti").select("id", "uri")
 
 
-@query("SELECT 'knowledge_object' AS table_name, count(*) AS rows, count(DISTINCT id) AS ids FROM knowledge_object UNION ALL SELECT 'relation', count(*), count(DISTINCT id) FROM relation UNION ALL SELECT 'evidence', count(*), count(DISTINCT id) FROM evidence UNION ALL SELECT 'source_item', count(*), count(DISTINCT id) FROM source_item")
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, workspace_id, count(*) AS rows, count(DISTINCT id) AS ids FROM {t} GROUP BY 2" for t in ("knowledge_object", "relation", "evidence", "source_item", "derivation", "capability_run", "sync_peer")))
 def export_manifest(spark, folder):
-    """Rows and records of each table that an export holds."""
+    """Rows and records of each table and workspace that an export holds."""
     out = None
-    for name in ("knowledge_object", "relation", "evidence", "source_item"):
-        part = table(spark, folder, name).groupBy("id").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("rows"), F.count("*").alias("ids")).select(F.lit(name).alias("table_name"), "rows", "ids")
+    for name in TABLES:
+        part = table(spark, folder, name).groupBy("workspace_id", "id").agg(F.count("*").alias("c")).groupBy("workspace_id").agg(F.sum("c").alias("rows"), F.count("*").alias("ids"))
+        part = part.select(F.lit(name).alias("table_name"), "workspace_id", "rows", "ids")
         out = part if out is None else out.union(part)
     return out
 

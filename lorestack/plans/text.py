@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,23 +118,32 @@ def tfidf_keywords(spark, folder):
     return X.keywords(d, "doc_id", F.col("text"), X.unit_frequency(d, "text"), d.count()).withColumnRenamed("key", "doc_id")
 
 
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+# Fixed values: (type, pattern, confidence); B stands for the edge of a word of ASCII.
+PATTERNS = (
+    ("email", r"B[\w.+-]+@[\w-]+\.[\w.-]+B", 0.98), ("url", r"Bhttps?://[^\s<>\"')]+", 0.98), ("date", r"B\d{4}-\d{2}-\d{2}B", 0.95),
+    ("date", rf"(?i)B(?:\d{{1,2}}\s+)?(?:{_MONTHS})\s+\d{{1,2}}?,?\s*\d{{4}}B", 0.9), ("money", r"(?i)(?:[$£€₹]\s?\d[\d,]*(?:\.\d+)?|B\d[\d,]*(?:\.\d+)?\s?(?:USD|EUR|GBP|INR|dollars|euros|rupees)B)", 0.92),
+    ("percent", r"B\d+(?:\.\d+)?\s?%", 0.95), ("version", r"Bv?\d+\.\d+(?:\.\d+)?B", 0.7), ("identifier", r"B[A-Z]{2,}-\d+B", 0.85), ("time", r"(?i)B\d{1,2}:\d{2}(?::\d{2})?\s?(?:am|pm)?B", 0.85),
+)
+
+
 @query(
-    r"""WITH m AS (SELECT doc_id, unnest(['email', 'url', 'date', 'percent', 'version', 'identifier', 'time']) AS type, unnest([
- regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), regexp_extract_all(text, 'https?://[^\s)>\]"]+'), regexp_extract_all(text, '\b\d{4}-\d{2}-\d{2}\b'), regexp_extract_all(text, '\b\d+(?:\.\d+)?(?:%| percent\b)'),
- regexp_extract_all(text, '\bv\d+\.\d+(?:\.\d+)?\b'), regexp_extract_all(text, '\b[A-Z]{2,}-\d+\b'), regexp_extract_all(text, '\b\d{1,2}:\d{2}\b')]) AS found FROM documents)
-SELECT doc_id, type, v AS value, count(*) AS n FROM (SELECT doc_id, type, unnest(found) AS v FROM m) GROUP BY 1, 2, 3"""
+    r"""WITH m AS (SELECT doc_id, unnest(['email', 'url', 'date', 'date', 'money', 'percent', 'version', 'identifier', 'time']) AS type, unnest([0.98e0, 0.98e0, 0.95e0, 0.9e0, 0.92e0, 0.95e0, 0.7e0, 0.85e0, 0.85e0]) AS confidence, unnest([
+ regexp_extract_all(text, '\b[\w.+-]+@[\w-]+\.[\w.-]+\b'), regexp_extract_all(text, '\bhttps?://[^\s<>"'')]+'), regexp_extract_all(text, '\b\d{4}-\d{2}-\d{2}\b'),
+ regexp_extract_all(text, '(?i)\b(?:\d{1,2}\s+)?(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}?,?\s*\d{4}\b'),
+ regexp_extract_all(text, '(?i)(?:[$£€₹]\s?\d[\d,]*(?:\.\d+)?|\b\d[\d,]*(?:\.\d+)?\s?(?:USD|EUR|GBP|INR|dollars|euros|rupees)\b)'), regexp_extract_all(text, '\b\d+(?:\.\d+)?\s?%'),
+ regexp_extract_all(text, '\bv?\d+\.\d+(?:\.\d+)?\b'), regexp_extract_all(text, '\b[A-Z]{2,}-\d+\b'), regexp_extract_all(text, '(?i)\b\d{1,2}:\d{2}(?::\d{2})?\s?(?:am|pm)?\b')]) AS found FROM documents),
+v AS (SELECT doc_id, type, confidence, unnest(found) AS value FROM m)
+SELECT doc_id, value, arg_max(type, (confidence, type)) AS type, max(confidence) AS confidence, count(*) AS n FROM v GROUP BY 1, 2"""
 )
 def pattern_entities(spark, folder):
-    """Structured entities of each document: addresses, links, dates, percentages, versions, identifiers, times."""
-    # the edges of ASCII words, whatever the script around them
-    at, end = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-    patterns = {
-        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "url": r"https?://[^\s)>\]\"]+", "date": rf"{at}\d{{4}}-\d{{2}}-\d{{2}}{end}", "percent": rf"{at}\d+(?:\.\d+)?(?:%| percent{end})",
-        "version": rf"{at}v\d+\.\d+(?:\.\d+)?{end}", "identifier": rf"{at}[A-Z]{{2,}}-\d+{end}", "time": rf"{at}\d{{1,2}}:\d{{2}}{end}",
-    }
-    found = F.array(*[F.struct(F.lit(k).alias("type"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("v")) for k, p in patterns.items()])
-    rows = docs(spark, folder).select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.type", F.explode("m.v").alias("value"))
-    return rows.groupBy("doc_id", "type", "value").agg(F.count("*").alias("n"))
+    """Structured entities of each document (addresses, links, dates, amounts, percentages, versions, identifiers, times), each
+    value as its most certain type."""
+    edge = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+    found = F.array(*[F.struct(F.lit(k).alias("type"), F.lit(c).alias("confidence"), F.regexp_extract_all("text", F.lit(re.sub(r"(?<![\[A-Z|])B(?![P])", lambda _: edge, p)), F.lit(0)).alias("v")) for k, p, c in PATTERNS])
+    rows = docs(spark, folder).select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.type", "m.confidence", F.explode("m.v").alias("value"))
+    best = F.max(F.struct("confidence", "type")).alias("b")
+    return rows.groupBy("doc_id", "value").agg(best, F.count("*").alias("n")).select("doc_id", "value", "b.type", "b.confidence", "n")
 
 
 @query(
@@ -161,7 +172,7 @@ def html_links(spark, folder):
     """Links of pages as a reader of tags finds them."""
     from lorestack.sources.readers import parse_html
 
-    pages = docs(spark, folder).filter(F.col("text").contains("<a "))
+    pages = docs(spark, folder).filter(F.lower("text").contains("<a"))
     return parse_html(pages, "doc_id", "text").select("doc_id", F.explode("links").alias("l")).groupBy("doc_id", F.col("l.href").alias("href")).agg(F.count("*").alias("n"))
 
 

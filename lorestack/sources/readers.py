@@ -177,30 +177,130 @@ def read_pdf(data: bytes) -> tuple[str, int]:
     return re.sub(r"\n\s*\n+", "\n", "".join(out)).strip(), pages
 
 
-def read_files(files: DataFrame) -> DataFrame:
-    """(path, media_type, text, note) of files (path, content): text as read, or why there is none."""
+_FRONT = re.compile(r"---\r?\n(.*?)\r?\n---\r?\n?", re.S)
+_HEADING = re.compile(r"^(#{1,6})\s+(.+)$", re.M)
+
+
+def first_line(text: str) -> str | None:
+    """The first line with content, cut to 120 characters."""
+    line = next((x.strip() for x in re.split(r"\r?\n", text) if x.strip()), None)
+    return line if line is None or len(line) <= 120 else line[:117] + "…"
+
+
+def _brackets(text: str) -> tuple[str, list[dict], list[str]]:
+    """(text with the words of [words](href) and [[page]] alone, links, pages), in one scan that never looks back."""
+    out, links, pages, at = [], [], [], 0
+    while (start := text.find("[", at)) >= 0:
+        if text.startswith("[[", start) and (end := text.find("]]", start + 2)) >= 0:
+            out += [text[at:start], text[start + 2 : end]]
+            pages.append(text[start + 2 : end].strip())
+            at = end + 2
+            continue
+        shut = text.find("]", start + 1)
+        if shut < 0:
+            break
+        if not text.startswith("(", shut + 1):
+            out.append(text[at : shut + 1])
+            at = shut + 1
+            continue
+        end = text.find(")", shut + 2)
+        if end < 0:
+            break
+        words, href = text[start + 1 : shut], (text[shut + 2 : end].split() or [""])[0]
+        if words and href:
+            links.append({"href": href, "text": words})
+        out += [text[at:start], words]
+        at = end + 1
+    return "".join([*out, text[at:]]), links, pages
+
+
+def read_markdown(raw: str | None) -> dict:
+    """title (front matter, first heading of level 1, or first line), text without marks, front matter, headings with their
+    offsets, links and linked pages."""
+    body, front = raw or "", {}
+    if m := _FRONT.match(body):
+        body = body[m.end() :]
+        pairs = (re.match(r"([\w-]+)\s*:\s*(.*)$", line.strip()) for line in re.split(r"\r?\n", m[1]))
+        front = {p[1]: re.sub(r"^[\"']|[\"']$", "", p[2]) for p in pairs if p}
+    headings = [{"level": len(m[1]), "text": m[2].strip(), "offset": m.start()} for m in _HEADING.finditer(body)]
+    text = re.sub(r"```.*?```", lambda m: re.sub(r"```\w*\n?", "", m[0]), body, flags=re.S)
+    text = re.sub(r"^#{1,6}\s+", "", text, flags=re.M)
+    text = re.sub(r"[*_]{1,3}([^*_]+)[*_]{1,3}", r"\1", text)
+    text, links, pages = _brackets(text)
+    text = re.sub(r"^[-*+]\s+", "", re.sub(r"^>\s?", "", text, flags=re.M), flags=re.M).strip()
+    title = front.get("title") or next((h["text"] for h in headings if h["level"] == 1), None) or first_line(text)
+    return {"title": title, "text": text, "front": front, "headings": headings, "links": links, "pages": pages}
+
+
+def read_csv(raw: str | None, limit: int = 500) -> dict:
+    """text ('column: value; ...' of the first `limit` rows), columns and the number of rows of one table."""
+    import csv
+
+    rows = [[c.strip() for c in next(csv.reader([line]), [])] for line in re.split(r"\r?\n", raw or "") if line]
+    if not rows:
+        return {"text": "", "columns": [], "rows": 0}
+    head = rows[0]
+    lines = ("; ".join(f"{h}: {r[i] if i < len(r) else ''}" for i, h in enumerate(head)) for r in rows[1 : limit + 1])
+    return {"text": "\n".join(lines), "columns": head, "rows": len(rows) - 1}
+
+
+def read_text(raw: str, kind: str) -> dict:
+    """title, text, and the counts of headings, links and rows of a text of a media type."""
+    if kind == "text/html":
+        page = read_html(raw)
+        return {"title": page["title"] or first_line(page["text"]), "text": page["text"], "headings": len(page["headings"]), "links": len(page["links"]), "rows": 0}
+    if kind == "text/markdown":
+        page = read_markdown(raw)
+        return {"title": page["title"], "text": page["text"], "headings": len(page["headings"]), "links": len(page["links"]), "rows": 0}
+    if kind == "text/csv":
+        page = read_csv(raw)
+        return {"title": None, "text": page["text"], "headings": 0, "links": 0, "rows": page["rows"]}
+    text = flatten_json(raw) if kind == "application/json" else raw
+    return {"title": first_line(text) if kind == "text/plain" else None, "text": text, "headings": 0, "links": 0, "rows": 0}
+
+
+def parse_texts(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:
+    """(key, title, text, headings, links, rows): every text read by its media type; null texts as empty ones."""
+    of = df.schema[key].dataType.simpleString()
+
+    def read(frames):
+        for frame in frames:
+            rows = [read_text(t or "", k or "text/plain") for t, k in zip(frame["t"], frame["m"])]
+            yield pd.DataFrame({"key": frame["key"], **{c: [r[c] for r in rows] for c in ("title", "text", "headings", "links", "rows")}})
+
+    return df.select(F.col(key).alias("key"), F.col(text).alias("t"), F.col(kind).alias("m")).mapInPandas(read, f"key {of}, title string, text string, headings int, links int, rows int")
+
+
+def read_files(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, media_type, title, text, note) of files (path, content, and their length): text as read, or why there is none.
+
+    Files over `max_bytes` aren't read. One file at a time is handed to a worker's reader."""
 
     def read(frames):
         for frame in frames:
-            rows = []
             for path, content in zip(frame["path"], frame["content"]):
-                kind = MEDIA_TYPES.get(path.rsplit(".", 1)[-1].lower(), "application/pdf" if content[:4] == b"%PDF" else "text/plain")
-                text, note = "", None
-                if kind.split("/")[0] in ("image", "audio", "video"):
+                kind = MEDIA_TYPES.get(path.rsplit(".", 1)[-1].lower(), "application/pdf" if content is not None and content[:4] == b"%PDF" else "text/plain")
+                title, text, note = None, "", None
+                if content is None:
+                    note = "too large"
+                elif kind.split("/")[0] in ("image", "audio", "video"):
                     note = f"no reader for {kind}"
                 elif kind == "application/pdf":
                     text = read_pdf(content)[0]
-                    note = None if text else "no text in the file"
+                    note = None if text else "encrypted" if b"/Encrypt" in content else "no text in the file"
+                    title = first_line(text)
                 else:
-                    text = content.decode("utf-8", "replace")
-                    text = read_html(text)["text"] if kind == "text/html" else flatten_json(text) if kind == "application/json" else text
-                rows.append((path, kind, html.unescape(text) if kind == "text/html" else text, note))
-            yield pd.DataFrame(rows, columns=["path", "media_type", "text", "note"])
+                    page = read_text(content.decode("utf-8", "replace"), kind)
+                    title, text = page["title"], page["text"]
+                yield pd.DataFrame([(path, kind, title, text, note)], columns=["path", "media_type", "title", "text", "note"])
 
-    return files.select("path", "content").mapInPandas(read, "path string, media_type string, text string, note string")
+    size = F.col("length") if "length" in files.columns else F.octet_length("content")
+    bounded = files.select("path", F.when(size <= max_bytes, F.col("content")).alias("content"))
+    return bounded.mapInPandas(read, "path string, media_type string, title string, text string, note string")
 
 
 def read_csv_rows(spark: SparkSession, path: str, limit: int = 500) -> DataFrame:
-    """The rows of a CSV file as 'column: value; ...', at most `limit`, as the reading of tables shows them."""
-    df = spark.read.option("header", "true").option("quote", '"').option("escape", '"').csv(path)
-    return df.limit(limit).select(F.concat_ws("; ", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in df.columns]).alias("line"))
+    """The rows of each CSV file as 'column: value; ...', at most `limit` a file, as the reading of tables shows them."""
+    files = spark.read.format("binaryFile").load(path)
+    lines = read_files(files).filter("media_type = 'text/csv' and text <> ''").select("path", F.posexplode(F.split("text", "\n")).alias("row", "line"))
+    return lines.filter(F.col("row") < limit).select("line")

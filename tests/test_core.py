@@ -232,6 +232,14 @@ def test_inverted_lists_reach_their_recall_without_clusters(spark):
     index = InvertedLists(df, "id", "v")
     each = recall(index.search(queries), exact_search(queries, df, "id", "v"))
     assert index.table.count() == 1600 and each.count() == 80
+    index.remove(df.filter("id < 10").select(F.col("id").alias("k")))
+    assert index.table.count() == 1590 and not index.stale()
+    index.add(df.filter("id < 500"))
+    assert index.table.count() == 1600 and index.stale()
+    near = exact_search(queries, df, "id", "v")
+    from lorestack.operators.vectors import nearest
+
+    assert nearest(queries, df, "id", "v").exceptAll(near).isEmpty()
     assert {r.s: r.r >= 0.9 for r in each.join(df, each.query_id == df.id).groupBy(F.size("v").alias("s")).agg(F.avg("recall").alias("r")).collect()} == {12: True, 24: True}
 
 
@@ -267,9 +275,12 @@ def test_readers(spark, tmp_path):
     assert plan["a.md"] is None and plan["b.exe"] == "unsupported type"
     listed = spark.createDataFrame([("d/c.txt", 0), ("d/.h.md", 5), ("node_modules/a.md", 5), ("d/big.md", 1 << 30)], "path string, length long")
     assert [r.reason for r in readers.plan_folder(listed).collect()] == ["empty", "hidden", "skipped folder", "too large"]
+    page = readers.read_markdown("---\ntitle: 'Front'\n---\n# Head\n**bold** [x](http://y \"t\") and [[Page]] [no] [")
+    assert page["title"] == "Front" and page["text"] == "Head\nbold x and Page [no] [" and page["links"] == [{"href": "http://y", "text": "x"}] and page["pages"] == ["Page"] and page["headings"][0]["level"] == 1
+    assert readers.read_csv('a,b\n"x ""q""",1\ny')["text"] == 'a: x "q"; b: 1\na: y; b: ' and readers.read_csv("") == {"text": "", "columns": [], "rows": 0} and readers.read_markdown(None)["title"] is None
     assert [r.line for r in readers.read_csv_rows(spark, str(tmp_path / "t.csv")).collect()] == ['n: a "q"; v: 1', "n: b; v: "]
     read = {r.path.rsplit("/", 1)[1]: r for r in readers.read_files(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
-    assert read["a.md"].text == "# x" and read["a.md"].media_type == "text/markdown"
+    assert read["a.md"].text == "x" and read["a.md"].title == "x" and read["t.csv"].text.startswith("n: a") and read["a.md"].media_type == "text/markdown"
 
 
 def test_streams(spark, tmp_path):
@@ -392,20 +403,97 @@ def test_export_and_import(spark, tmp_path):
         plan_import(spark, str(tmp_path / "e"), {}, {"knowledge_object": "0"})
 
 
-def test_providers(spark):
-    from lorestack.functions.providers import Provider, Providers
+def test_providers():
+    import time
+
+    from lorestack.functions.providers import Provider, Providers, builtin
 
     def fail(capability, task):
         raise RuntimeError("down")
 
-    p = Providers()
-    p.register(Provider("good", {"tag": (0.9, 100, 50)}, fail, local=False))
+    now, up, told = [0.0], [True], []
+    p = Providers(clock=lambda: now[0])
+    p.listeners.append(lambda name, ok: told.append((name, ok)))
+    p.register(Provider("good", {"tag": (0.9, 100, 50)}, fail, local=False, available=lambda: up[0]))
     p.register(Provider("floor", {"tag": (0.3, 1, 0)}, lambda c, t: [t]))
-    assert p.ranked(spark, "tag") == ["good", "floor"] and p.ranked(spark, "tag", prefer="privacy") == ["floor", "good"] and p.ranked(spark, "tag", most=10) == ["floor"]
-    assert p.call(spark, "tag", "x") == ("floor", ["x"]) and [r[2] for r in p.runs] == ["error: down", "ok"]
-    assert p.coverage(["tag", "link"]) == {"tag": ["floor", "good"], "link": []}
+    assert p.ranked("tag") == ["good", "floor"] and p.ranked("tag", prefer="privacy") == ["floor", "good"] and p.ranked("tag", most=10) == ["floor"] == p.ranked("tag", left=20) == p.ranked("tag", remote=False)
+    assert p.ranked("tag", first=("floor",)) == ["floor", "good"] and p.ranked("tag", deny=("good",)) == ["floor"]
+    assert p.call("tag", "x") == {"provider": "floor", "result": ["x"], "degraded": True} and [r["status"] for r in p.history()] == ["ok", "error: down"]
+    up[0] = False
+    p.call("tag", "x")
+    assert not told and p.history()[1]["status"] == "error: down"  # still known to be up
+    now[0] = 31.0
+    p.call("tag", "x")
+    assert told == [("good", False)] and p.history(status="unavailable")[0]["provider"] == "good"
+    p.register(Provider("slow", {"tag": (1.0, 1, 0)}, lambda c, t: time.sleep(1)))
+    assert p.call("tag", "x", timeout=0.05)["degraded"] and p.history(status="timeout")
+    assert p.coverage(["tag", "link"]) == {"tag": ["floor", "good", "slow"], "link": []}
     with pytest.raises(LookupError):
-        p.call(spark, "link", "x")
+        p.call("link", "x")
+    p.register(builtin())
+    assert p.call("numbers", "38ms")["result"] == [("ms", 38.0)]
+
+
+def memory(spark):
+    from lorestack.operators.recall import Store
+
+    rows = [
+        ("a", "Harbour plan", "The harbour plan needs 12 boats. " * 3, "active", None, None), ("b", "Harbour plan of old", "The harbour plan needed 9 boats then.", "superseded", "a", None),
+        ("c", "Kitchen rota", "Nothing about ships is written in here.", "active", None, "rejected"), ("d", "Harbour plan copy", "The harbour plan needs 12 boats. " * 3, "active", None, None),
+        ("e", "Harbour plan denied", "The harbour plan does not need 12 boats.", "active", None, None), ("f", "Gone", "The harbour plan is deleted.", "deleted", None, None), ("g", None, None, "active", None, None),
+    ]
+    full = [(i, "w", "note", t, b, '{"tags":["x"]}', "fact", "user", None, rv or "unreviewed", st, sup, None, day(n), day(n), 0, None, "h" + i) for n, (i, t, b, st, sup, rv) in enumerate(rows)]
+    schema = "id string, workspace_id string, kind string, title string, body string, attrs string, epistemic string, origin string, confidence double, review string, state string, superseded_by string, occurred_at timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz, access_count int, last_access timestamp_ntz, content_hash string"
+    rel = [("r1", "w", "a", "related_to", "c", 0.9, "active"), ("r2", "w", "a", "contradicts", "e", 0.8, "active"), ("r3", "w", "a", "mentions", "f", 0.9, "active")]
+    relations = spark.createDataFrame(rel, "id string, workspace_id string, src_id string, type string, dst_id string, confidence double, state string")
+    return Store(spark.createDataFrame(full, schema), relations, spark.createDataFrame([("a", "e1", "supports")], "target_id string, id string, stance string"), "2026-03-01 00:00:00")
+
+
+def test_search_context_and_answers(spark):
+    from lorestack.operators import recall as M
+
+    s = memory(spark)
+    found = [r.id for r in M.search(s, parse_query("harbour plan", s.now)).orderBy("rank").collect()]
+    assert set(found[:3]) == {"a", "d", "e"} and not {"b", "f"} & set(found)
+    assert [r.id for r in M.search(s, parse_query("is:superseded harb", s.now)).collect()] == ["b"]  # by prefix
+    near = {r.id: r.why for r in M.search(s, parse_query("harbour plan", s.now), anchor="c", rerank=True).collect()}
+    assert near["a"].depth == 1 and "1 step(s) away in the graph" in near["a"].because and near["a"].quality > 1
+    assert {r.id for r in M.search(s, parse_query("kind:note", s.now)).collect()} == {"a", "c", "d", "e", "g"}
+    ctx = M.context(s, "What did the harbour plan originally need?")
+    ids = [i["id"] for i in ctx.items]
+    assert "f" not in ids and {"a", "b", "c", "e"} <= set(ids) and ctx.conflicts[0]["id"] == "r2" and ctx.used <= ctx.budget
+    assert next(i for i in ctx.items if i["id"] == "c")["reason"] == "related to — Harbour plan" and "KNOWN DISAGREEMENTS" in M.render(ctx)
+    cache = {}
+    first = M.ask(s, "How many boats does the harbour plan need?", cache)
+    assert first["grounded"] and "12 boats" in first["answer"] and first["escalate"] == "synthesis" and not first["cached"] and M.ask(s, "How many boats does the harbour plan need??", cache)["cached"]
+    assert M.ask(s, "zzz qqq")["answer"] is None
+    assert M.pack([{"text": "x" * 4000, "tokens": 1000, "reason": "r"}], 500)[0][0]["reason"] == "r (trimmed)"
+    pairs = M.near_pairs(s)
+    got = {(r.id, r.kind, r.other) for r in M.object_notices(s, pairs).collect()}
+    assert ("a", "seen-before", "d") in got and ("a", "contradiction", "e") in got
+    assert [r.kind for r in M.question_notices(s, s.heads.filter("id in ('b', 'c')").select("id")).collect()] == ["superseded-source", "all-old"] and {r.kind for r in M.workspace_notices(s).collect()} == {"open-conflicts", "possibly-outdated"}
+    assert {r.other for r in M.similar_to(s, s.heads.filter("id = 'a'")).collect()} >= {"d", "e"}
+    empty = M.Store(s.heads.limit(0), s.relations.limit(0), s.evidence.limit(0), s.now)
+    assert M.search(empty, parse_query("harbour", s.now)).count() == 0 and M.ask(empty, "harbour?")["answer"] is None
+    assert M.escalate("compare them", 3, True, 0.9) == "synthesis" and M.escalate("x", 3, True, 0.2) == "unsure" and M.escalate("x", 0, False, 0) is None and M.escalate("x", 3, True, 0.9, "always") == "always"
+
+
+def test_lifecycle(spark):
+    from lorestack.operators import lifecycle as L
+
+    s = memory(spark)
+    heads = s.heads.select("id", F.lit(1).alias("head_version"), "title", "body", "attrs", "epistemic", "confidence", "review", "state", "superseded_by", F.lit(None).cast("timestamp_ntz").alias("valid_until"))
+    p = [("p1", "a", 1, "edit", "New", None, None), ("p2", "a", 2, "edit", " New ", None, None), ("p3", "a", 3, "delete", None, None, None), ("p4", "a", 4, "confirm", None, None, None), ("p5", "a", 5, "restore", None, None, None), ("p6", "a", 6, "edit", " ", None, None),
+         ("p7", "a", 7, "supersede", None, None, "a"), ("p8", "a", 8, "supersede", None, None, "d"), ("p9", "zz", 1, "confirm", None, None, None), ("q1", "f", 1, "edit", "x", None, None), ("q2", "f", 2, "edit", None, 2.0, None)]
+    rows = spark.createDataFrame([(a, b, day(c), d, e, None, None, None, f, g) for a, b, c, d, e, f, g in p], "patch_id string, id string, at timestamp_ntz, change string, title string, body string, attrs string, epistemic string, confidence double, superseded_by string")
+    got = {r.patch_id: (r.outcome, r.head_version, r.title, r.state, list(r.changed)) for r in L.apply_changes(heads, rows).collect()}
+    assert got["p1"] == ("changed", 2, "New", "active", ["title"]) and got["p2"][:2] == ("unchanged", 2) and got["p3"][:2] == ("changed", 3) and got["p4"][0] == "deleted" and got["p5"][:2] == ("changed", 4)
+    assert got["p6"][0] == "invalid" == got["p7"][0] and got["p8"][:2] == ("changed", 5) and got["p8"][4] == ["state", "superseded_by", "valid_until"] and got["p9"][0] == "missing" and got["q1"][0] == "deleted" and got["q2"][0] == "invalid"
+    new = spark.createDataFrame([("i1", "w", "note", "Harbour plan", "The harbour plan needs 12 boats. " * 3, '{"tags":["x"]}', None, "user", None, day(1)), ("i2", "w", "note", "N", None, "{}", None, "ai", 0.5, day(1)), ("i3", "w", "note", " N", "", None, None, "ai", None, day(2)), ("i4", "w", "note", None, "", None, None, "ai", None, day(2)), ("i5", "w", "note", "M", "", None, None, "ai", 7.0, day(2))],
+                                "input_id string, workspace_id string, kind string, title string, body string, attrs string, epistemic string, origin string, confidence double, at timestamp_ntz")
+    assert {(r.input_id, r.outcome, r.id) for r in L.create(new, s.heads).collect()} == {("i1", "existing", "a"), ("i2", "created", "new_i2"), ("i3", "existing", "new_i2"), ("i4", "invalid", None), ("i5", "invalid", None)}
+    al = L.add_aliases(spark.createDataFrame([("a", "Ann", ["A"])], "id string, title string, aliases array<string>"), spark.createDataFrame([("a", "Annie"), ("a", "Ann"), ("a", " ")], "id string, alias string")).first()
+    assert al.aliases == ["A", "Annie"] and al.changed
 
 
 def test_change_feed_delivers_ties_over_pages(spark):
