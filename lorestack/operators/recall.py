@@ -44,11 +44,10 @@ class Store:
 
 def semantic_list(store: Store, text: str, pool: int, least: float = 0.05, share: float = 0.4) -> DataFrame:
     """(key, rank): the objects nearest to a text, without those far below the nearest."""
-    spark = store.heads.sparkSession
-    ask = V.hashed_vectors(spark.createDataFrame([("\x00", text)], "id string, t string"), "id", F.col("t")).withColumnRenamed("key", "id")
-    near = V.exact_search(ask, store.vectors(), "id", "vector", pool, least)
-    top = F.max("similarity").over(Window.partitionBy("query_id"))  # at most `pool` rows
-    return near.withColumn("top", top).filter(F.col("similarity") >= share * F.col("top")).select("key", "rank")
+    near = V.nearest_to(V.hash_texts([text])[0], store.vectors(), "id", "vector", pool, least)
+    one = Window.orderBy(F.desc("similarity"), "key")  # at most `pool` rows
+    near = near.withColumn("rank", F.row_number().over(one)).withColumn("top", F.max("similarity").over(one))
+    return near.filter(F.col("similarity") >= share * F.col("top")).select("key", "rank")
 
 
 def candidates(store: Store, intent: Intent, pool: int) -> DataFrame:

@@ -118,39 +118,69 @@ def best_per_group(queries: DataFrame, rows: DataFrame, key: str, vector: str, g
     return found.groupBy("query_id", F.col("g").cast(rows.schema[group].dataType).alias(group)).agg(F.max("similarity").alias("similarity"))
 
 
-def hashed_vectors(docs: DataFrame, key: str, text: Column, dims: int = 256) -> DataFrame:
-    """(key, vector): hashed features of a text: each content term (weight 1 + ln of its count) and its 3-grams (0.28 of
-    that) are added with the sign of a hash to a bucket; of length 1. All zero for texts without content terms."""
-    kind = docs.schema[key].dataType.simpleString()
-    known: dict[str, list[tuple[int, float]]] = {}
+_features: dict[tuple[str, int], list[tuple[int, float]]] = {}
+
+
+def term_features(term: str, dims: int) -> list[tuple[int, float]]:
+    """(bucket, signed weight) of a term and its 3-grams; kept by a worker for terms that come again."""
 
     def place(feature: str) -> tuple[int, int]:
         h = hashlib.sha256(feature.encode()).digest()
         return int.from_bytes(h[:4], "big") % dims, 1 if (h[4] >> 4) % 2 == 0 else -1
 
-    def features(term: str) -> list[tuple[int, float]]:
-        if term not in known:
-            if len(known) > 200_000:
-                known.clear()
-            padded = f"#{term}#"
-            parts = [(*place("w:" + term), 1.0), *((*place("g:" + padded[i : i + 3]), 0.28) for i in range(len(padded) - 2))]
-            known[term] = [(b, sign * w) for b, sign, w in parts]
-        return known[term]
+    if (term, dims) not in _features:
+        if len(_features) > 200_000:
+            _features.clear()
+        padded = f"#{term}#"
+        parts = [(*place("w:" + term), 1.0), *((*place("g:" + padded[i : i + 3]), 0.28) for i in range(len(padded) - 2))]
+        _features[term, dims] = [(b, sign * w) for b, sign, w in parts]
+    return _features[term, dims]
+
+
+def hash_texts(texts: list[str | None], dims: int = 256) -> np.ndarray:
+    out = np.zeros((len(texts), dims))
+    for i, t in enumerate(texts):
+        for term, n in Counter(T.py_content_terms(t)).items():
+            w = 1 + math.log(n)
+            for b, x in term_features(term, dims):
+                out[i, b] += w * x
+    return unit(out)
+
+
+def hashed_vectors(docs: DataFrame, key: str, text: Column, dims: int = 256) -> DataFrame:
+    """(key, vector): hashed features of a text: each content term (weight 1 + ln of its count) and its 3-grams (0.28 of
+    that) are added with the sign of a hash to a bucket; of length 1. All zero for texts without content terms."""
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((batch.num_rows, dims))
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                for term, n in Counter(T.py_content_terms(t)).items():
-                    w = 1 + math.log(n)
-                    for b, x in features(term):
-                        out[i, b] += w * x
-            out = unit(out)
+            out = hash_texts(batch.column(1).to_pylist(), dims)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1)), dims).cast(pa.list_(pa.float64()))], ["key", "vector"])
 
     return docs.select(F.col(key).alias("key"), text.alias("t")).mapInArrow(run, f"key {kind}, vector array<double>")
 
 
+def nearest_to(one: np.ndarray, rows: DataFrame, key: str, vector: str, k: int, least: float = 0.05) -> DataFrame:
+    """(key, similarity) of the k rows nearest to one vector: a single scan in which each task keeps its k best."""
+    kind = rows.schema[key].dataType.simpleString()
+    asked = unit(np.asarray(one, dtype=float).reshape(1, -1))[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple] = []
+        for batch in batches:
+            v = _vectors(batch.column(1))
+            fits = [i for i, x in enumerate(v) if len(x) == len(asked)]
+            if fits:
+                s = np.round(unit(np.array([v[i] for i in fits], dtype=float)) @ asked, 6)
+                keys = batch.column(0).to_pylist()
+                best = sorted(best + [(keys[i], float(x)) for i, x in zip(fits, s) if x >= least], key=lambda r: (-r[1], r[0]))[:k]
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in best]), pa.array([b[1] for b in best], pa.float64())], ["key", "similarity"])
+
+    usable = rows.filter(F.size(F.coalesce(F.col(vector), F.array())) > 0).select(F.col(key).alias("key"), F.col(vector).alias("v"))
+    return usable.mapInArrow(run, f"key {kind}, similarity double").orderBy(F.desc("similarity"), "key").limit(k)
+
+
 def fit_centroids(x: np.ndarray, lists: int, rounds: int = 6) -> np.ndarray:
     """Centroids by k-means on unit vectors."""
     c = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)].copy()

@@ -32,7 +32,8 @@ def _cue(at: int, otherwise: str, question: str) -> str:
 
 
 _KIND, _EPI, _SURE = _cue(0, "'note'", "'question'"), _cue(1, "'observation'", "'belief'"), _cue(2, "0.4", "0.75").replace("THEN 0", "THEN 0").replace(" END", " END")
-_N = r"len([w for w in regexp_split_to_array(claim, '\s+') if length(w) > 0])"
+_GAP = r"[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}]"
+_N = rf"len([w for w in regexp_split_to_array(claim, '{_GAP}+') if length(w) > 0])"
 _USE = rf"""floor(100 * greatest(0.25e0, least(0.85e0, CAST({_SURE} AS DOUBLE) + (CASE WHEN regexp_matches(claim, '\b\d') THEN 0.08e0 ELSE 0e0 END - CASE WHEN regexp_matches(claim, '(?i)^\s*(it|this|that|they|these|those|he|she|there)\b') THEN 0.12e0 ELSE 0e0 END
  + (CASE WHEN {_N} < 8 THEN -0.08e0 WHEN {_N} > 40 THEN -0.06e0 ELSE 0e0 END + CASE WHEN regexp_matches(regexp_replace(claim, '^\W*\S+', ''), '\b[A-Z][a-zà-öø-ÿ]{{2,}}') THEN 0.05e0 ELSE 0e0 END)))) + 0.5) / 100"""
 
@@ -55,7 +56,7 @@ def sentence_kinds(spark, folder):
     return s.groupBy("kind", "epistemic", "confidence").agg(F.count("*").alias("n"))
 
 
-_NUM = r"([$£€₹]?)\s?([0-9][0-9,]*(?:\.[0-9]+)?)\s?(%|percent|thousand|million|billion|minutes?|mins?|seconds?|secs?|hours?|hrs?|days?|weeks?|months?|years?|people|usd|eur|gbp|inr|kib|mib|gib|tib|khz|mhz|ghz|kb|mb|gb|tb|fps|rpm|px|hz|ms|µs|us|ns|bn|k|m)?\b"
+_NUM = _GAP.join((r"([$£€₹]?)", r"?([0-9][0-9,]*(?:\.[0-9]+)?)", r"?(%|percent|thousand|million|billion|minutes?|mins?|seconds?|secs?|hours?|hrs?|days?|weeks?|months?|years?|people|usd|eur|gbp|inr|kib|mib|gib|tib|khz|mhz|ghz|kb|mb|gb|tb|fps|rpm|px|hz|ms|µs|us|ns|bn|k|m)?\b"))
 _EACH = "unnest(" + f"list_zip(regexp_extract_all(t, '(?i){_NUM}', 1), regexp_extract_all(t, '(?i){_NUM}', 2), regexp_extract_all(t, '(?i){_NUM}', 3))" + ")"
 _FIGS = f"""n AS (SELECT id, coalesce(x[1], '') AS sign, CAST(replace(x[2], ',', '') AS DOUBLE) AS v, lower(coalesce(x[3], '')) AS u FROM (SELECT id, {_EACH} AS x FROM o)),
 fig AS (SELECT DISTINCT id, CASE WHEN sign <> '' THEN 'currency' WHEN u IN ('', 'k', 'thousand', 'm', 'million', 'bn', 'billion') THEN 'count' WHEN u IN ('ms', 'µs', 'us', 'ns', 'px', 'fps', 'rpm') OR u LIKE '%b' OR u LIKE '%hz' THEN u
