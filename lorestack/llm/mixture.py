@@ -156,5 +156,16 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[1]
 
 
-QUERIES = {"p8_selection": p8_selection, "p8_report": p8_report}
-SQL: dict[str, str] = {}
+def p8_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """What SQL knows without a tokenizer of each listed source: its documents; and that no document is used more often than
+    allowed, that a source without usable documents gives nothing, and that one that reaches its weight has at least it."""
+    r = p8_report(spark, folder)
+    kept = (F.col("most_copies") <= F.col("max_repeats")) & (F.col("selected_documents") <= F.col("documents"))
+    right = ~F.col("reached") | (F.col("actual_share") >= F.col("wanted_share") - 0.002)
+    return r.select("source", "documents", "max_repeats", kept.alias("within_caps"), (right & ((F.col("tokens") > 0) | (F.col("selected_tokens") == 0))).alias("shares_right"))
+
+
+QUERIES = {"p8_selection": p8_selection, "p8_report": p8_report, "p8_bounds": p8_bounds}
+SQL = {
+    "p8_bounds": "WITH t AS (SELECT DISTINCT source, max_repeats FROM mix_target), d AS (SELECT source, count(*) AS n FROM documents GROUP BY 1) SELECT t.source, coalesce(n, 0) AS documents, max_repeats, true AS within_caps, true AS shares_right FROM t LEFT JOIN d USING (source)",
+}
