@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lorestack.functions import text as T
 from lorestack.operators.capture import count
-from lorestack.session import cut
+from lorestack.session import cut, spread_small
 
 _FLAGS = re.I | re.A
 # Cues of kinds of statements, first match wins: (kind, epistemic, confidence, cue).
@@ -82,7 +82,7 @@ def per_row(docs: DataFrame, key: str, text: Column, rows: Callable[[str], Itera
             columns = list(zip(*out)) if out else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(list(c), t) for c, (_, t) in zip(columns, schema))], names)
 
-    return docs.select(F.col(key).alias("key"), text.alias("text")).mapInArrow(run, ", ".join([f"key {kind}", *(f"{n} {kinds[t]}" for n, t in schema)]))
+    return spread_small(docs.select(F.col(key).alias("key"), text.alias("text"))).mapInArrow(run, ", ".join([f"key {kind}", *(f"{n} {kinds[t]}" for n, t in schema)]))
 
 
 def claim_rows(text: str, limit: int = 12) -> list[tuple[int, str, str, str, float]]:
@@ -328,4 +328,4 @@ def unit_frequency(units: DataFrame, text: str) -> DataFrame:
             seen = Counter(t for x in batch.column(0).to_pylist() if x for t in set(T.py_content_terms(x)))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
-    return units.select(text).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    return spread_small(units.select(text)).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))

@@ -62,6 +62,11 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """A small input (a file of one row group is one task) spread over all cores; a larger one stays where it is read."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if estimated_bytes(df) <= 4 * BROADCAST_BYTES else df
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", spread: Column | None = None, salts: int = 8, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Joins a large left side, whose keys may be skewed, with a right side.
 
