@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """(node, component): component is the lowest node of the component; nodes are those that occur in an edge.
 
     Self loops, repeated edges and both directions are allowed; edges with a null end are ignored; no edges give no
-    rows. Each round halves the depth of the trees at least; the lineage is cut after each round by a written table.
+    rows. Each round halves the depth of the trees at least; the lineage is cut after each half of a round by a
+    written table, as the next half reads it three times.
     Hubs are spread by a hash of the neighbour when the lowest neighbours are joined back.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
@@ -30,7 +31,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
         before = mark
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = lookup_join(both.filter("v > u"), _lowest(both), ["u"], spread=F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = cut(lookup_join(both.filter("v > u"), _lowest(both), ["u"], spread=F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         low = _lowest(large)
         small = lookup_join(large, low, ["u"], spread=F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         # large-star of the next round starts from (node, lowest) and (lower neighbour, lowest)
