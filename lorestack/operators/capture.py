@@ -6,7 +6,10 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,6 +105,129 @@ def jaccard_join(sets: DataFrame, key: str, terms: str, threshold: float) -> Dat
     return both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
+def tile_pairs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray] | None, threshold: float, unsure: np.ndarray, high: int = 256, wide: int = 4096) -> Iterator[tuple[np.ndarray, ...]]:
+    """(i, j, similarity, open): which sets of a and of b are alike to at least `threshold`; without b, each pair of a once.
+
+    Sets come as (codes of their terms one after the other, sizes). A product of matrices counts shared terms by bucket,
+    which can only be too many; what passes is counted by codes. `open` tells whether shared codes are among `unsure`, those
+    of several terms; then the similarity is one at most."""
+    c = threshold / (1 + threshold)  # of the terms of both, so many are shared at least
+    codes, flat, often = np.unique(a[0] if b is None else np.concatenate([a[0], b[0]]), return_inverse=True, return_counts=True)
+    dense = np.cumsum(often > 1) - 1  # what one set has can't be shared
+    dense[often == 1] = -1
+    odd = np.isin(codes[often > 1], unsure)
+    flat = dense[flat]
+
+    def by_size(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        kept = np.bincount(np.repeat(np.arange(len(n)), n)[flat >= 0], minlength=len(n))
+        flat, order = flat[flat >= 0], np.argsort(n, kind="stable")
+        k, first = kept[order], (np.cumsum(kept) - kept)[order]
+        return order, n[order], k, np.cumsum(k) - k, flat[np.arange(len(flat)) + np.repeat(first - (np.cumsum(k) - k), k)]
+
+    def counts(flat: np.ndarray, k: np.ndarray, buckets: int) -> np.ndarray:
+        at = np.repeat(np.arange(len(k)), k) * buckets + flat % buckets
+        return np.bincount(at, minlength=len(k) * buckets).astype(np.float32).reshape(len(k), buckets)
+
+    one = lambda n: np.ones((len(n), 1), np.float32)
+    a_own, an, ak, a_at, af = by_size(flat[: len(a[0])], a[1])
+    b_own, bn, bk, b_at, bf = (a_own, an, ak, a_at, af) if b is None else by_size(flat[len(a[0]) :], b[1])
+    mark = np.zeros((high, max(1, len(odd))), bool)
+    for q in range(0, len(bn), wide):
+        m, km = bn[q : q + wide], bk[q : q + wide]
+        at0 = b_at[q]
+        other = bf[at0 : at0 + km.sum()]
+        right: dict[int, np.ndarray] = {}
+        start, stop = np.searchsorted(an, threshold * m[0] - 1e-9), np.searchsorted(an, m[-1] / threshold + 1e-9, "right")
+        for r in range(start, min(stop, q + len(m)) if b is None else stop, high):
+            n, kn = an[r : min(r + high, stop)], ak[r : min(r + high, stop)]
+            buckets = min(2048, max(256, 1 << int(3 * max(n[-1], m[-1]) - 1).bit_length()))
+            if buckets not in right:
+                right[buckets] = np.ascontiguousarray(np.hstack([counts(other, km, buckets), -c * one(m), -c * m[:, None].astype(np.float32)]).T)
+            own = af[a_at[r] : a_at[r] + kn.sum()]
+            left = np.hstack([counts(own, kn, buckets), n[:, None].astype(np.float32), one(n)])
+            i, j = np.divmod(np.flatnonzero(left @ right[buckets] >= -0.01), len(m))
+            ok = (np.minimum(n[i], m[j]) >= threshold * np.maximum(n[i], m[j]) - 1e-9) & (km[j] > 0)
+            if b is None:
+                ok &= i + r < j + q
+            i, j = i[ok], j[ok]
+            if not len(i):
+                continue
+            rows = np.repeat(np.arange(len(n)), kn)
+            mark[rows, own] = True
+            for k in range(0, len(i), 1 << 15):
+                x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+                size = km[y]
+                ends = np.cumsum(size)
+                terms = other[np.arange(ends[-1]) + np.repeat(b_at[y + q] - at0 - ends + size, size)]
+                met = mark[np.repeat(x, size), terms]
+                shared = np.add.reduceat(met, ends - size, dtype=np.int64)
+                alike = shared / (n[x] + m[y] - shared)
+                hit = alike >= threshold
+                check = np.add.reduceat(met & odd[terms], ends - size, dtype=np.int64) > 0 if odd.any() else np.zeros(len(x), bool)
+                if hit.any():
+                    yield a_own[x[hit] + r], b_own[y[hit] + q], alike[hit], check[hit]
+            mark[rows, own] = False
+
+
+def jaccard_tiles(sets: DataFrame, key: str, terms: str, threshold: float, least: int = 2048, most: int = 65536, bits: int = 32) -> DataFrame:
+    """(a, b, similarity): as jaccard_join, for low thresholds and terms that many sets share.
+
+    There, blocks by term meet more often than there are pairs, so all pairs of like sizes are looked at instead, in tiles
+    of two groups of sets (of about `least` to `most` sets, by size), at some ten nanoseconds a pair. A set goes to one tile for
+    each group, and pairs alone leave a tile. The work grows with the square of the sets, what is written with the sets.
+    Terms are compared by codes of `bits` bits; pairs that share a code of several terms are compared by the terms. `sets` is
+    read several times: what is dear to make should be cut."""
+    spark = sets.sparkSession
+    rows = sets.select(F.col(key).alias("key"), F.array_distinct(F.col(terms)).alias("t")).filter(F.col("key").isNotNull() & (F.size("t") > 0))
+    code = lambda x: F.shiftright(F.xxhash64(x), 64 - bits).cast("int")
+    vocabulary = rows.select(F.explode("t").alias("x")).distinct()
+    # of v terms, about v * v / 2 ** (bits + 1) codes stand for several
+    unsure = np.array([r[0] for r in vocabulary.groupBy(code(F.col("x"))).count().filter("count > 1").collect()], np.int64).astype(np.int32)
+    sizes = rows.groupBy(F.size("t").alias("n")).agg(F.count("*").alias("c")).orderBy("n").collect()  # as many rows as there are sizes
+    total = sum(r.c for r in sizes)
+    groups = max(1, min(6, total // least), -(-total // most))
+    # sets of one size are spread over the groups that it reaches into
+    before, place, reach = 0, [], {}
+    for r in sizes:
+        place.append((r.n, before, r.c))
+        for g in range(before * groups // total, (before + r.c - 1) * groups // total + 1):
+            reach[g] = (min(reach.get(g, (r.n,))[0], r.n), r.n)
+        before += r.c
+    tiles = [(g, h) for g in reach for h in reach if g <= h and reach[g][1] >= threshold * reach[h][0] - 1e-9]
+    goes = [(x, k, s) for k, (g, h) in enumerate(tiles) for s, x in ((0, g), (1, h)) if s == 0 or g != h]
+    group = F.floor((F.col("before") + F.pmod(F.xxhash64("key"), F.col("c"))) * groups / max(1, total)).cast("int")
+    placed = rows.select("key", F.size("t").alias("n"), F.transform("t", code).alias("codes"))
+    placed = placed.join(F.broadcast(spark.createDataFrame(place, "n int, before long, c long")), "n").withColumn("group", group)
+    placed = placed.join(F.broadcast(spark.createDataFrame(goes, "group int, tile int, side int")), "group").select("tile", "side", "key", "codes")
+    kind = placed.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (held := list(batches)):
+            return
+        whole = pa.Table.from_batches(held)
+        for tile in whole["tile"].unique().to_pylist():
+            keys, parts = [], []
+            for side in (0, 1):
+                part = whole.filter(pc.and_(pc.equal(whole["tile"], tile), pc.equal(whole["side"], side)))
+                lists = part["codes"].combine_chunks()
+                keys.append(part["key"].combine_chunks())
+                parts.append((pc.list_flatten(lists).to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)))
+            alone = tiles[tile][0] == tiles[tile][1]
+            for i, j, alike, check in tile_pairs(parts[0], None if alone else parts[1], threshold, unsure):
+                yield pa.RecordBatch.from_arrays([keys[0].take(pa.array(i)), keys[0 if alone else 1].take(pa.array(j)), pa.array(alike), pa.array(check)], ["a", "b", "similarity", "open"])
+
+    met = placed.repartitionById(max(1, len(tiles)), F.col("tile")).mapInArrow(run, f"a {kind}, b {kind}, similarity double, open boolean")
+    met = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity", "open"))
+    sure = met.filter("not open").drop("open")
+    if not len(unsure):
+        return sure
+    pairs = cut(met.filter("open").select("a", "b"))
+    x = lookup_join(rows.select(F.col("key").alias("a"), F.col("t").alias("x")), pairs, ["a"])
+    y = lookup_join(rows.select(F.col("key").alias("b"), F.col("t").alias("y")), pairs, ["b"])
+    shared = F.size(F.array_intersect("x", "y"))
+    both = x.join(y, ["a", "b"]).select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity"))
+    return sure.unionByName(both.filter(F.col("similarity") >= threshold))
+
 _LETTER = "a-zà-öø-ÿ"
 _RUN = re.compile(rf"(?<![A-Za-z0-9_])([A-Z][{_LETTER}]+(?:[ \t]+(?:of|and|&|[A-Z][{_LETTER}]*)){{0,3}})(?![A-Za-z0-9_])")
 # Ends of organisations' names, words before a name, capitalised words that are none, words that begin or end

@@ -14,7 +14,7 @@ from lorestack.operators import graph as G
 from lorestack.operators import retrieval as R
 from lorestack.operators import vectors as V
 from lorestack.operators.accounts import age
-from lorestack.operators.capture import count, jaccard_join
+from lorestack.operators.capture import count, jaccard_tiles
 from lorestack.operators.history import content_hash
 from lorestack.operators.search import Intent, intent_filter, parse_query
 from lorestack.session import cut
@@ -41,6 +41,15 @@ class Store:
             self.made["vectors"] = cut(V.hashed_vectors(living, "id", F.concat_ws("\n", "title", "body")).withColumnRenamed("key", "id"))
         return self.made["vectors"]
 
+    def terms(self) -> DataFrame:
+        """(id, state, review, created_at, t, head): the terms of each head, and those of its title alone."""
+        if "terms" not in self.made:
+            blank = F.lit("")
+            text = F.concat(F.coalesce("title", blank), F.lit(" "), F.coalesce("body", blank))
+            distinct = lambda x: F.array_distinct(T.content_terms(x))
+            self.made["terms"] = cut(self.heads.select("id", "state", "review", "created_at", distinct(text).alias("t"), distinct(F.col("title")).alias("head")))
+        return self.made["terms"]
+
 
 def semantic_list(store: Store, text: str, pool: int, least: float = 0.05, share: float = 0.4) -> DataFrame:
     """(key, rank): the objects nearest to a text, without those far below the nearest."""
@@ -281,17 +290,21 @@ def question_notices(store: Store, ids: DataFrame) -> DataFrame:
 
 
 def object_notices(store: Store, pairs: DataFrame, least: float = 0.45, most: int = 5) -> DataFrame:
-    """(id, kind, other, strength, age_days) for each object of `pairs` (id, other): what it overlaps with (from 0.45 of the
-    terms; stronger if over 90 days apart), what it contradicts by an active relation, and rejected objects among the
-    pairs whose title is much like it; the `most` strongest of each."""
-    blank = F.lit("")
-    t = store.heads.select("id", "title", "review", "created_at", T.content_terms(F.concat(F.coalesce("title", blank), F.lit(" "), F.coalesce("body", blank))).alias("t"), T.content_terms(F.col("title")).alias("head"))
-    both = pairs.filter("id <> other").distinct().join(t.select("id", F.col("t").alias("x"), F.col("created_at").alias("c1")), "id").join(t.select(F.col("id").alias("other"), F.col("t").alias("y"), "head", "review", F.col("created_at").alias("c2")), "other")
+    """(id, kind, other, strength, age_days) for each object of `pairs` (id, other, and overlap where it is known): what it
+    overlaps with (from 0.45 of the terms; stronger if over 90 days apart), what it contradicts by an active relation, and
+    rejected objects among the pairs whose title is much like it; the `most` strongest of each."""
+    t = store.terms()
     share = lambda a, b: F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
     days = F.abs(F.unix_micros(F.col("c1").cast("timestamp")) - F.unix_micros(F.col("c2").cast("timestamp"))) / 86_400_000_000
-    both = both.withColumn("overlap", share("x", "y")).withColumn("days", days)
+    both = pairs.filter("id <> other").distinct()
+    if "overlap" not in pairs.columns:
+        both = both.join(t.select("id", F.col("t").alias("x")), "id").join(t.select(F.col("id").alias("other"), F.col("t").alias("y")), "other").withColumn("overlap", share("x", "y")).drop("x", "y")
+    both = both.join(t.select("id", F.col("created_at").alias("c1"), F.size("t").alias("n")), "id").join(t.select(F.col("id").alias("other"), "review", F.col("created_at").alias("c2"), F.size("head").alias("m")), "other").withColumn("days", days)
     seen = both.filter("overlap >= 0.45").select("id", F.lit("seen-before").alias("kind"), "other", F.least(F.lit(0.95), F.col("overlap") + F.when(F.col("days") > 90, 0.1).otherwise(0.0)).alias("strength"), "days")
-    no = both.filter((F.col("review") == "rejected") & (share("x", "head") >= 0.5)).select("id", F.lit("previously-rejected").alias("kind"), "other", F.lit(0.75).alias("strength"), "days")
+    # terms meet only where their numbers allow half of them to be shared
+    no = both.filter((F.col("review") == "rejected") & (2 * F.least("n", "m") >= F.greatest("n", "m"))).select("id", "other", "days")
+    no = no.join(t.select("id", F.col("t").alias("x")), "id").join(t.select(F.col("id").alias("other"), "head"), "other").filter(share("x", "head") >= 0.5)
+    no = no.select("id", F.lit("previously-rejected").alias("kind"), "other", F.lit(0.75).alias("strength"), "days")
     c = store.relations.filter("type = 'contradicts'").select("src_id", "dst_id", F.greatest(F.lit(0.6), F.coalesce("confidence", F.lit(0.6))).alias("strength"))
     sides = c.select(F.col("src_id").alias("id"), F.col("dst_id").alias("other"), "strength").union(c.select("dst_id", "src_id", "strength"))
     against = sides.join(pairs.select("id").distinct(), "id", "left_semi").groupBy("id", "other").agg(F.max("strength").alias("strength"))
@@ -327,11 +340,10 @@ def workspace_notices(store: Store, stale_days: int = 365, most: int = 5) -> Dat
 
 
 def near_pairs(store: Store, threshold: float = 0.45) -> DataFrame:
-    """(id, other) of living objects whose contents share at least `threshold` of their terms, both ways, without comparing all."""
-    blank = F.lit("")
-    rows = store.heads.filter("state <> 'deleted'").select("id", T.content_terms(F.concat(F.coalesce("title", blank), F.lit(" "), F.coalesce("body", blank))).alias("t"))
-    p = jaccard_join(cut(rows), "id", "t", threshold)
-    return p.select(F.col("a").alias("id"), F.col("b").alias("other")).union(p.select("b", "a"))
+    """(id, other, overlap) of living objects whose contents share at least `threshold` of their terms, both ways."""
+    rows = store.terms().filter("state <> 'deleted'")
+    p = jaccard_tiles(rows, "id", "t", threshold).withColumnRenamed("similarity", "overlap")
+    return p.select(F.col("a").alias("id"), F.col("b").alias("other"), "overlap").union(p.select("b", "a", "overlap"))
 
 
 def recall_bundle(store: Store, ids: DataFrame, history: DataFrame, derivations: DataFrame) -> DataFrame:

@@ -391,6 +391,33 @@ def test_jaccard_join_equals_brute_force(spark):
     assert {(p.a, p.b) for p in jaccard_join(df, "id", "t", 0.5).collect()} == want
 
 
+def test_jaccard_tiles_equal_brute_force(spark):
+    import random
+
+    from lorestack.operators.capture import jaccard_tiles
+
+    r = random.Random(4)
+    sets = [(f"k{i:03d}", [f"w{x}" for x in r.sample(range(30), r.randint(0, 14))]) for i in range(200)] + [(None, ["w1"])]
+    df = spark.createDataFrame(sets, "id string, t array<string>")
+    share = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    want = {(i, j): share(x, y) for i, x in sets for j, y in sets if i and j and i < j and x and y and share(x, y) >= 0.45}
+    for bits in (32, 4):  # codes of four bits stand for several terms
+        got = [((p.a, p.b), p.similarity) for p in jaccard_tiles(df, "id", "t", 0.45, least=40, bits=bits).collect()]
+        assert dict(got) == want and len(got) == len(want) > 100
+    assert jaccard_tiles(df.limit(0), "id", "t", 0.45).count() == 0
+
+
+def test_near_pairs_alone_leave_their_tiles(spark):
+    from lorestack.operators import recall as M
+
+    s = memory(spark)
+    pairs = M.near_pairs(s)
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()  # candidates aren't shuffled
+    known = {tuple(r) for r in M.object_notices(s, pairs).collect()}
+    assert known == {tuple(r) for r in M.object_notices(s, pairs.select("id", "other")).collect()} and len(known) > 3
+    assert {(r.id, r.other): r.overlap for r in pairs.collect()}["a", "d"] == 0.8
+
+
 def test_export_and_import(spark, tmp_path):
     from lorestack.sources.exchange import export_workspace, plan_import
 
