@@ -91,8 +91,9 @@ def concepts(objects: DataFrame, least: int = 3) -> DataFrame:
     found = cut(found.join(taken, ["workspace_id", "phrase"], "left_anti"))
     parts = F.pandas_udf(lambda s: s.map(inside), "array<string>")
     longer = found.select("workspace_id", F.col("documents").alias("_most"), F.explode(parts("phrase")).alias("phrase")).groupBy("workspace_id", "phrase").agg(F.max("_most").alias("_most"))
-    kept = found.join(longer, ["workspace_id", "phrase"], "left").filter(F.col("_most").isNull() | (F.col("_most") < F.col("documents"))).drop("_most")
-    totals = usable.groupBy("workspace_id").agg(F.count("*").alias("total"))
+    # a plan takes `longer` for as small as `found`, of which it has dozens of rows for each; once broadcast, it stays so
+    kept = found.join(longer.hint("merge"), ["workspace_id", "phrase"], "left").filter(F.col("_most").isNull() | (F.col("_most") < F.col("documents"))).drop("_most")
+    totals = cut(usable.groupBy("workspace_id").agg(F.count("*").alias("total")))  # a row a workspace; uncut, it is taken for large and `kept` is broadcast
     n = F.col("documents")
     weight = 0.7 * F.least(F.lit(1.0), n / 8) + 0.3 * F.least(F.lit(1.0), n * 3 / F.col("total"))
     return lookup_join(kept, totals, ["workspace_id"], spread=F.col("phrase")).select("workspace_id", "phrase", "documents", "occurrences", T.round_half(0.45 + 0.25 * weight, 2).alias("confidence"))

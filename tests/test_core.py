@@ -377,6 +377,8 @@ def test_concepts(spark):
     rows = [(f"o{i}", "w", "note", f"t{i}", body, "active", None, "{}") for i in range(3)] + [("e", "w", "entity", "Archive Plan", None, "active", None, '{"aliases":[]}'), ("r", "w", "note", None, None, "active", "rejected", "{}")]
     df = spark.createDataFrame(rows, "id string, workspace_id string, kind string, title string, body string, state string, review string, attrs string")
     assert {(r.phrase, r.documents) for r in concepts(df).collect()} == {("harbour archive plan", 3)}
+    plan = concepts(df)._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert [x for x in plan if "LeftOuter" in x] and not [x for x in plan if "LeftOuter" in x and "Broadcast" in x]  # parts of phrases aren't sent to the driver
 
 
 def test_jaccard_join_equals_brute_force(spark):
