@@ -140,7 +140,7 @@ def tile_pairs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
         start, stop = np.searchsorted(an, threshold * m[0] - 1e-9), np.searchsorted(an, m[-1] / threshold + 1e-9, "right")
         for r in range(start, min(stop, q + len(m)) if b is None else stop, high):
             n, kn = an[r : min(r + high, stop)], ak[r : min(r + high, stop)]
-            buckets = min(2048, max(256, 1 << int(3 * max(n[-1], m[-1]) - 1).bit_length()))
+            buckets = min(2048, max(128, 1 << int(3 * max(n[-1], m[-1]) - 1).bit_length()))
             if buckets not in right:
                 right[buckets] = np.ascontiguousarray(np.hstack([counts(other, km, buckets), -c * one(m), -c * m[:, None].astype(np.float32)]).T)
             own = af[a_at[r] : a_at[r] + kn.sum()]
